@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and start a new lineage from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table into the shared checkpoint folder and read it back: a new lineage that survives executors.
+
+    Unlike a checkpoint, which hands on the estimated sizes of the plan it replaces (they square with each
+    self-join of an iterative job), a written table has its true size, by which Spark picks joins.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_empty(df: DataFrame) -> bool:
