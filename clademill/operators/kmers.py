@@ -91,10 +91,12 @@ def pair_scores(rows: DataFrame, k: int, min_positions: int, pairs: DataFrame |
     if pairs is None:
         one, two = held.withColumnRenamed("seq_name", "a"), held.withColumnRenamed("seq_name", "b")
         pairs = one.join(two, ["group_id", "pos", "kmer"]).filter("a < b").select("group_id", "a", "b").distinct()
-    lists = held.groupBy("group_id", "seq_name").agg(F.map_from_entries(F.collect_list(F.struct("pos", "kmer"))).alias("m"))
-    joined = pairs.select("group_id", "a", "b").join(lists.select("group_id", F.col("seq_name").alias("a"), F.col("m").alias("x")), ["group_id", "a"]).join(lists.select("group_id", F.col("seq_name").alias("b"), F.col("m").alias("y")), ["group_id", "b"])
-    common = F.array_intersect(F.map_keys("x"), F.map_keys("y"))
-    same = F.array_intersect(F.map_entries("x"), F.map_entries("y"))
+    places = F.collect_list("pos").alias("p")
+    lists = held.groupBy("group_id", "seq_name").agg(places, F.collect_list(F.xxhash64("pos", "kmer")).alias("h"))
+    left = lists.select("group_id", F.col("seq_name").alias("a"), F.col("p").alias("pa"), F.col("h").alias("ha"))
+    right = lists.select("group_id", F.col("seq_name").alias("b"), F.col("p").alias("pb"), F.col("h").alias("hb"))
+    joined = pairs.select("group_id", "a", "b").join(left, ["group_id", "a"]).join(right, ["group_id", "b"])
+    common, same = F.array_intersect("pa", "pb"), F.array_intersect("ha", "hb")
     counted = joined.select("group_id", "a", "b", F.size(same).alias("together"), F.size(common).alias("compared"))
     score = F.when(F.col("compared") > min_positions, F.col("together") / F.col("compared")).otherwise(0.0)
     return counted.filter("together > 0").withColumn("score", F.round(score, 6))

@@ -8,30 +8,36 @@ from pyspark.sql import functions as F
 from clademill.functions import dna
 
 
+BASES = "ACGT"
+MIXED = ("AC", "AG", "AT", "CG", "CT", "GT")
+
+
 def with_bits(rows: DataFrame) -> DataFrame:
-    """``group_id, seq_name, occ, a, c, g, t``: one bit per column and kind, made once per record."""
+    """``group_id, seq_name`` and, made once per record, one bit per column for occupied ones (occ), bases (base) and each base."""
     occupied = dna.bits(F.translate(F.col("seq"), "-", "."), "ACGTRYSWKMBDHVNU")
-    return rows.select("group_id", "seq_name", occupied.alias("occ"), *[dna.bits(F.col("seq"), x).alias(x) for x in "ACGT"])
+    return rows.select("group_id", "seq_name", occupied.alias("occ"), dna.bits(F.col("seq"), BASES).alias("base"), *[dna.bits(F.col("seq"), x).alias(x) for x in BASES])
 
 
 def pair_counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The listed pairs (group_id, a, b) with counts over their common columns.
 
-    ``overlap`` columns where neither has a gap (unknowns count), ``compared`` where both have a base, ``match`` of
-    these equal, ``ts`` transitions, and the bases of both over the compared columns. Pairs are listed, never made
-    from a whole group, so the work follows the list. Pairs of which a record is missing do not come out.
+    ``overlap`` columns where neither has a gap (unknowns count), ``compared`` where both have a base, ``match`` of these
+    equal, ``ts`` transitions, ``gc_a`` and ``gc_b``, ``n_A`` to ``n_T`` bases of both, ``n_AC`` and so on columns with two
+    different bases. Pairs are listed, never made from a whole group, so the work follows the list. Pairs of
+    which a record is missing do not come out.
     """
     b = with_bits(rows)
-    names = ["occ", *"ACGT"]
+    names = ["occ", "base", *BASES]
     one = b.select("group_id", F.col("seq_name").alias("a"), *[F.col(x).alias(f"x_{x}") for x in names])
     two = b.select("group_id", F.col("seq_name").alias("b"), *[F.col(x).alias(f"y_{x}") for x in names])
     joined = pairs.select("group_id", "a", "b").join(one, ["group_id", "a"]).join(two, ["group_id", "b"])
-    n = {x + y: dna.common_bits(F.col(f"x_{x}"), F.col(f"y_{y}")) for x in "ACGT" for y in "ACGT"}
-    counted = joined.select("group_id", "a", "b", dna.common_bits(F.col("x_occ"), F.col("y_occ")).alias("overlap"), *[c.alias(k) for k, c in n.items()])
-    total = sum((F.col(k) for k in n), F.lit(0))
-    return counted.select(
-        "group_id", "a", "b", "overlap", total.alias("compared"),
-        (F.col("AA") + F.col("CC") + F.col("GG") + F.col("TT")).alias("match"), (F.col("AG") + F.col("GA") + F.col("CT") + F.col("TC")).alias("ts"), *n,
+    both = lambda x, y: dna.common_bits(F.col(f"x_{x}"), F.col(f"y_{y}"))
+    return joined.select(
+        "group_id", "a", "b", both("occ", "occ").alias("overlap"), both("base", "base").alias("compared"),
+        (both("A", "A") + both("C", "C") + both("G", "G") + both("T", "T")).alias("match"),
+        (both("A", "G") + both("G", "A") + both("C", "T") + both("T", "C")).alias("ts"),
+        (both("C", "base") + both("G", "base")).alias("gc_a"), (both("base", "C") + both("base", "G")).alias("gc_b"),
+        *[(both(x, "base") + both("base", x)).alias(f"n_{x}") for x in BASES], *[(both(x, y) + both(y, x)).alias(f"n_{x}{y}") for x, y in MIXED],
     )
 
 
@@ -40,19 +46,16 @@ def distances(counts: DataFrame) -> DataFrame:
     n = F.col("compared")
     p, ts = dna.p_distance(n, F.col("match")), F.when(n > 0, F.col("ts") / n)
     tv = p - ts
-    row = {x: sum((F.col(x + y) for y in "ACGT"), F.lit(0)) / n for x in "ACGT"}
-    column = {x: sum((F.col(y + x) for y in "ACGT"), F.lit(0)) / n for x in "ACGT"}
-    share = {x: (row[x] + column[x]) / 2 for x in "ACGT"}
     mixed = F.lit(0.0)
-    for x, y in ("AC", "AG", "AT", "CG", "CT", "GT"):
-        pair = (F.col(x + y) + F.col(y + x)) / n
-        mixed = mixed + F.when((share[x] > 0) & (share[y] > 0), pair * pair / (2 * share[x] * share[y])).otherwise(0.0)
+    for x, y in MIXED:
+        mixed = mixed + F.when(F.col(f"n_{x}{y}") > 0, F.col(f"n_{x}{y}") * F.col(f"n_{x}{y}") * 2.0 / (F.col(f"n_{x}") * F.col(f"n_{y}"))).otherwise(0.0)
+    share = [F.col(f"n_{x}") / (2 * n) for x in BASES]
     models = {
         "uncorrected": 100 * p, "jukes_cantor": dna.jukes_cantor(p), "kimura": dna.kimura(ts, tv),
-        "tamura": dna.tamura(ts, tv, row["C"] + row["G"], column["C"] + column["G"]),
-        "tajima_nei": dna.tajima_nei(p, list(share.values()), mixed), "jin_nei": dna.jin_nei(ts, tv),
+        "tamura": dna.tamura(ts, tv, F.col("gc_a") / n, F.col("gc_b") / n),
+        "tajima_nei": dna.tajima_nei(p, share, mixed), "jin_nei": dna.jin_nei(ts, tv),
     }
-    return counts.select("group_id", "a", "b", "compared", *[F.round(c + F.lit(0.0), 6).alias(k) for k, c in models.items()])
+    return counts.select("group_id", "a", "b", "compared", *[F.round(F.when(n > 0, c) + F.lit(0.0), 6).alias(k) for k, c in models.items()])
 
 
 def overlapping(counts: DataFrame, more_than: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from clademill.plans import problems
+from clademill.plans import alignments, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **alignments.QUERIES}
+SQL = {**problems.SQL, **alignments.SQL}
