@@ -95,10 +95,11 @@ def stops(marks: Column, step: int) -> Column:
 def with_spans(df: DataFrame, step: int, overlap: int) -> DataFrame:
     """Adds ``spans``, an array of ``(start, stop)`` token numbers of the pieces.
 
-    Pieces after the first begin ``overlap`` tokens before the end of the one before, or up to three later where
-    that would be inside a character.
+    Texts without marks are one piece. Pieces after the first begin ``overlap`` tokens before the end of the one
+    before, or up to three later where that would be inside a character.
     """
-    ended = df.withColumn("stops", stops(F.col("marks"), step))
+    whole = F.array(F.col("n_tokens").cast("int"))
+    ended = df.withColumn("stops", F.when(F.col("marks").isNull(), whole).otherwise(stops(F.col("marks"), step)))
 
     def piece(stop: Column, k: Column) -> Column:
         before = F.coalesce(F.get(F.col("stops"), k - 1), F.lit(0))
@@ -119,15 +120,13 @@ def split_texts(df: DataFrame, item: str, text: str, limit: int = LIMIT, overlap
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
     step = limit - overlap
-    m = marked(df, text, [item], limit, folder, ranks)
-    long = m.filter(F.col("marks").isNotNull()).withColumn("raw", F.encode("text", "UTF-8"))
-    long = with_spans(long, step, overlap)
+    m = marked(df, text, [item], limit, folder, ranks).withColumn("raw", F.encode("text", "UTF-8"))
+    m = with_spans(m, step, overlap)
 
     def piece(s: Column, k: Column) -> Column:
-        low = F.when(s["start"] > 0, F.get(F.col("ends"), s["start"] - 1)).otherwise(0)
+        low = F.coalesce(F.get(F.col("ends"), s["start"] - 1), F.lit(0))
         high = F.get(F.col("ends"), s["stop"] - 1)
-        return F.struct(k.alias("piece"), s["start"].alias("start_token"), (s["stop"] - s["start"]).cast("long").alias("n_tokens"), F.decode(F.substring("raw", low + 1, high - low), "UTF-8").alias("text"))
+        part = F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.decode(F.substring("raw", low + 1, high - low), "UTF-8"))
+        return F.struct(k.alias("piece"), s["start"].alias("start_token"), (s["stop"] - s["start"]).cast("long").alias("n_tokens"), part.alias("text"))
 
-    cuts = long.select(F.col(item), F.size("spans").alias("n_pieces"), F.explode(F.transform("spans", piece)).alias("p")).select(item, "p.piece", "n_pieces", "p.start_token", "p.n_tokens", "p.text")
-    short = m.filter(F.col("marks").isNull()).select(item, F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_token"), "n_tokens", "text")
-    return cuts.unionByName(short)
+    return m.select(F.col(item), F.size("spans").alias("n_pieces"), F.explode(F.transform("spans", piece)).alias("p")).select(item, "p.piece", "n_pieces", "p.start_token", "p.n_tokens", "p.text")
