@@ -13,10 +13,11 @@ def weighted_values(df: DataFrame, key: Column, value: Column, extra: Mapping[st
     """One row ``key, value, weight`` (and ``extra`` aggregates) for each distinct pair.
 
     The pairs of a heavy key spread over all tasks, and map-side combining leaves at most one row per pair
-    and map task to be shuffled. Null keys and null values are groups of their own.
+    and map task to be shuffled. Null keys and null values are groups of their own. Other columns, of any name, do
+    no harm.
     """
     wanted = [F.count(F.lit(1)).alias("weight")] + [c.alias(n) for n, c in (extra or {}).items()]
-    return df.select(key.alias("key"), value.alias("value"), "*").groupBy("key", "value").agg(*wanted)
+    return df.groupBy(key.alias("key"), value.alias("value")).agg(*wanted)
 
 
 def key_profile(weights: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:

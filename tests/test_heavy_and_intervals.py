@@ -7,8 +7,8 @@ from clademill.operators import heavy, intervals
 
 def test_profile(spark):
     rows = [("a", v) for v in [1, 1, 2, 3, 100, None]] + [(None, 5)] * 3 + [("b", None)]
-    df = spark.createDataFrame(rows, "k string, v int").withColumn("key", F.lit("clash"))
-    w = heavy.weighted_values(df.drop("key"), F.col("k"), F.col("v"))
+    df = spark.createDataFrame(rows, "k string, v int").withColumn("key", F.lit("clash")).withColumn("value", F.lit("clash"))
+    w = heavy.weighted_values(df, F.col("k"), F.col("v"))
     got = {r.key: r for r in heavy.key_profile(w).collect()}
     assert (got["a"].n_rows, got["a"].n_distinct, got["a"].mode, got["a"].total) == (6, 4, 1, 107)
     assert (got[None].n_rows, got["b"].n_rows, got["b"].mode) == (3, 1, None)
@@ -16,7 +16,7 @@ def test_profile(spark):
     assert half == {"a": 2, None: 5}
     shares = heavy.keys_above_share(heavy.key_profile(w), 0.5).collect()
     assert [r.key for r in shares] == ["a"]
-    assert heavy.key_profile(heavy.weighted_values(df.limit(0).drop("key"), F.col("k"), F.col("v"))).count() == 0
+    assert heavy.key_profile(heavy.weighted_values(df.limit(0), F.col("k"), F.col("v"))).count() == 0
 
 
 def test_percentile_against_sorting(spark):
