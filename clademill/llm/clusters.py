@@ -68,10 +68,18 @@ def reduced_vectors(pairs: DataFrame, close: float = CLOSE) -> DataFrame:
     return vectors
 
 
-def micro_points(vectors: DataFrame) -> DataFrame:
-    """``group, point, v, n, names``-free summary: records in one fine grid cell are one weighted point."""
+def point_of() -> Column:
+    """The name of the fine grid cell of the vector ``v``."""
     grid = RADIUS / DIMENSIONS**0.5
-    keyed = vectors.withColumn("point", F.md5(F.concat_ws(",", F.transform("v", lambda x: F.round(x / grid).cast("int").cast("string")))))
+    return F.md5(F.concat_ws(",", F.transform("v", lambda x: F.round(x / grid).cast("int").cast("string"))))
+
+
+def micro_points(vectors: DataFrame) -> DataFrame:
+    """``group, point, v, n``: records in one fine grid cell, whose diagonal is the radius, are one point.
+
+    The records of a dense spot thus cost one row, however many they are.
+    """
+    keyed = vectors.withColumn("point", point_of())
     mean = F.array(*[F.avg(F.get("v", F.lit(i))).cast("float") for i in range(DIMENSIONS)])
     return keyed.groupBy("group", "point").agg(mean.alias("v"), F.count(F.lit(1)).alias("n"))
 
@@ -124,13 +132,12 @@ def density_clusters(pairs: DataFrame, close: float = CLOSE) -> DataFrame:
     leaves it; records close to nobody do not come out.
     """
     pairs = cut(pairs)
-    vectors = cut(reduced_vectors(pairs, close).withColumn("v", F.col("v")))
-    grid = RADIUS / DIMENSIONS**0.5
+    vectors = reduced_vectors(pairs, close)
     points = cut(micro_points(vectors))
     key = F.concat_ws("\u0001", F.col("group").cast("string"), "point")
     links = local_links(points).select(key.alias("a"), F.concat_ws("\u0001", F.col("group").cast("string"), "rep").alias("b"))
     joined = components(links)
-    placed = vectors.withColumn("point", F.md5(F.concat_ws(",", F.transform("v", lambda x: F.round(x / grid).cast("int").cast("string")))))
+    placed = vectors.withColumn("point", point_of())
     placed = placed.select("group", "name", key.alias("vertex")).join(joined, "vertex", "left").select("group", "name", F.coalesce("component", "vertex").alias("c"))
     placed = cut(placed)
     left = placed.select("group", F.col("name").alias("a"), F.col("c").alias("ca"))

@@ -79,10 +79,11 @@ def marked(df: DataFrame, text: str, keep: list[str], limit: int, folder: str |
 
 def cut_pattern(step: int) -> str:
     """Bounded alternatives, strongest boundary first: the whole rest, then the last message, file, hunk or line
-    end of the second half of a step, then of the first, then a piece, a character, and at last any token end."""
+    end of the second half of a step, then of the first, then a piece, and at last a character, of which each has
+    at most four tokens."""
     half = max(0, step // 2 - 1)
     strong = [f".{{{half},{step - 1}}}{m}" for m in "mfhl"]
-    return "|".join([rf".{{1,{step}}}\z", *strong, f".{{0,{half}}}[mfhl]", f".{{0,{step - 1}}}w", f".{{0,{step - 1}}}[^x]", f".{{1,{step}}}"])
+    return "|".join([rf".{{1,{step}}}\z", *strong, f".{{0,{half}}}[mfhl]", f".{{0,{step - 1}}}w", f".{{0,{step - 1}}}[^x]"])
 
 
 def stops(marks: Column, step: int) -> Column:
@@ -113,12 +114,12 @@ def with_spans(df: DataFrame, step: int, overlap: int) -> DataFrame:
 def split_texts(df: DataFrame, item: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str | None = None, ranks: str = enc.RANKS) -> DataFrame:
     """``item, piece, n_pieces, start_token, n_tokens, text``: texts above ``limit`` tokens in overlapping pieces.
 
-    Each piece has at most ``limit`` tokens; neighbours share ``overlap`` tokens. Texts within the limit are one
+    Each piece has at most ``limit`` tokens; neighbours share ``overlap`` tokens; no character is cut. Texts within the limit are one
     piece; null and empty texts are one piece of 0 tokens with the text as it is (null stays null). Offsets are in
     bytes, so a cut costs the same anywhere in a long text.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and below limit")
+    if overlap < 0 or limit - overlap < 4:
+        raise ValueError("limit must exceed overlap by the tokens of a character, 4")
     step = limit - overlap
     m = marked(df, text, [item], limit, folder, ranks).withColumn("raw", F.encode("text", "UTF-8"))
     m = with_spans(m, step, overlap)

@@ -96,7 +96,7 @@ def test_place_prefers_full_containers():
     assert container.tolist() == [0, 0, 1, 2, 2] and offset.tolist() == [0, 10, 0, 0, 30]
 
 
-@pytest.mark.parametrize("limit,overlap", [(32, 0), (32, 8), (5, 4), (1, 0)])
+@pytest.mark.parametrize("limit,overlap", [(32, 0), (32, 8), (8, 4), (4, 0)])
 def test_splitting(spark, texts, limit, overlap):
     diff = "commit " + "ab12" * 10 + "\nmsg\n" + "".join(f"diff --git a/f{i} b/f{i}\n@@ -1,2 +1,2 @@\n-old {i}\n+new 你好\U0001f600 {i}\n" for i in range(12))
     df = texts.unionByName(spark.createDataFrame([(99, diff, "")], texts.schema)).filter("length(text) < 20000 OR text IS NULL")
@@ -119,11 +119,16 @@ def test_splitting(spark, texts, limit, overlap):
         if overlap == 0 and limit >= 8:
             assert "".join(p.text for p in parts) == rows[i]
         for a, b in zip(parts, parts[1:]):
-            assert overlap - 3 <= a.start_token + a.n_tokens - b.start_token <= overlap
+            assert max(0, overlap - 3) <= a.start_token + a.n_tokens - b.start_token <= overlap
     if (limit, overlap) == (32, 0):
         assert sum(p.text.startswith("diff --git") or p.text.startswith("\ndiff --git") for p in by[99]) >= 6
 
 
+def test_splitting_needs_room(texts):
+    with pytest.raises(ValueError):
+        splitting.split_texts(texts, "id", "text", 8, 5)
+
+
 def brute_spans(rows, k):
     words, where = {}, {}
     for name, row, seq in rows:
