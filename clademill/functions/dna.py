@@ -49,19 +49,17 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
-def _code_map() -> Column:
-    order = "TCAG"
-    pairs = [(x + y + z, AMINO[16 * i + 4 * j + k]) for i, x in enumerate(order) for j, y in enumerate(order) for k, z in enumerate(order)]
-    return F.create_map(*[F.lit(v) for p in pairs for v in p])
+def acid(codon: Column) -> Column:
+    """The amino acid of three letters in upper case; anything but three of ACGT is ``X``."""
+    one, two, three = (F.position(F.substring(codon, i, 1), F.lit("TCAG")) for i in (1, 2, 3))
+    known = (F.length(codon) == 3) & (one * two * three > 0)
+    return F.when(known, F.substring(F.lit(AMINO), 16 * (one - 1) + 4 * (two - 1) + three, F.lit(1))).otherwise("X")
 
 
 def translate_codons(seq: Column, frame: int = 0) -> Column:
     """The amino acids of the whole codons of a frame; a codon with anything but ACGT is ``X``."""
-    count = F.floor((F.length(seq) - frame) / 3).cast("int")
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    code = _code_map()
-    letters = F.transform(places, lambda i: F.coalesce(F.element_at(code, F.substring(F.upper(seq), i * 3 + frame + 1, F.lit(3))), F.lit("X")))
-    return F.array_join(letters, "")
+    codons = F.regexp_extract_all(F.substring(F.upper(seq), frame + 1, 1 << 30), F.lit("(?s).{3}"), F.lit(0))
+    return F.array_join(F.transform(codons, acid), "")
 
 
 def iupac(bases: Column) -> Column:
@@ -87,12 +85,33 @@ def ungapped_runs(seq: Column) -> Column:
     return runs(seq, "[^Nn-]", "[Nn-]")
 
 
+def marked(seq: Column, letters: str) -> Column:
+    """``1`` for each letter that is one of ``letters`` in either case, ``0`` for any other."""
+    return F.translate(F.regexp_replace(F.upper(seq), f"[^{letters}]", "0"), letters, "1" * len(letters))
+
+
 def bits(seq: Column, letters: str) -> Column:
     """One bit per column, set where the text has one of ``letters``, in longs of ``CHUNK`` columns."""
-    marked = F.translate(F.regexp_replace(F.upper(seq), f"[^{letters}]", "0"), letters, "1" * len(letters))
-    count = F.ceil(F.length(seq) / CHUNK).cast("int")
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(marked, i * CHUNK + 1, F.lit(CHUNK)), 2, 10).cast("long"))
+    parts = F.regexp_extract_all(marked(seq, letters), F.lit(f".{{1,{CHUNK}}}"), F.lit(0))
+    return F.transform(parts, lambda x: F.conv(x, 2, 10).cast("long"))
+
+
+#: Letters that one long holds in five bits each.
+PACKED = 12
+LETTERS = "ACGTNRYSWKMBDHVU"
+
+
+def packed(seq: Column, gap: str) -> Column:
+    """A text of at most ``PACKED`` upper-case letters as one long, five bits a letter; ``gap`` is the digit of ``-``."""
+    return F.conv(F.translate(seq, LETTERS + "-", "0123456789abcdef" + gap), 32, 10).cast("long")
+
+
+def packed_similarity(a: Column, b: Column, k: int) -> Column:
+    """``similarity`` of two packed texts of ``k`` letters whose gaps were given different digits."""
+    x = a.bitwiseXOR(b)
+    spread = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3)).bitwiseOR(F.shiftright(x, 4))
+    ones = sum(1 << (5 * i) for i in range(k))
+    return k - F.bit_count(spread.bitwiseAND(F.lit(ones)))
 
 
 def common_bits(a: Column, b: Column) -> Column:

@@ -22,20 +22,20 @@ def gap_profile(rows: DataFrame) -> DataFrame:
 
 
 def kept_columns(rows: DataFrame, max_gap: float) -> DataFrame:
-    """``group_id, kept``: sorted positions of the columns whose gap share does not exceed ``max_gap``."""
-    kept = gap_profile(rows).filter(F.col("n_gap") <= F.col("n_seq") * F.lit(max_gap))
-    return kept.groupBy("group_id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    """``group_id, kept``: for each column in order whether its gap share does not exceed ``max_gap``."""
+    flags = gap_profile(rows).select("group_id", F.struct("pos", (F.col("n_gap") <= F.col("n_seq") * F.lit(max_gap)).alias("keep")).alias("c"))
+    return flags.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["keep"]).alias("kept"))
 
 
 def drop_gapped_columns(rows: DataFrame, max_gap: float) -> DataFrame:
     """The rows without the columns whose share of gaps and unknowns exceeds ``max_gap``.
 
-    Only the positions kept of a group are joined to its rows, so letters are never shuffled back together.
+    Only one flag per column of a group is joined to its rows, so letters are never shuffled back together.
     A group that keeps no column keeps empty texts.
     """
-    kept = kept_columns(rows, max_gap)
-    joined = rows.join(kept, "group_id", "left")
-    return joined.withColumn("seq", F.array_join(F.transform(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.substring("seq", i + 1, F.lit(1))), "")).drop("kept")
+    joined = rows.join(kept_columns(rows, max_gap), "group_id", "left")
+    letters = F.zip_with(F.split("seq", ""), F.coalesce("kept", F.array().cast("array<boolean>")), lambda c, k: F.when(k, c).otherwise(""))
+    return joined.withColumn("seq", F.array_join(letters, "")).drop("kept")
 
 
 def slice_columns(rows: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def modal_share(rows: DataFrame, width: int) -> DataFrame:
     among the fragments that contain the window."""
     found = fragments(rows, width).join(rows.select("group_id", "seq_name", "seq"), ["group_id", "seq_name"])
     codons = found.select("group_id", "lo", "hi", "seq", F.explode(F.sequence(F.col("lo"), F.col("hi") - 3)).alias("at"))
-    codons = codons.withColumn("acid", dna.translate_codons(F.substring("seq", F.col("at") + 1, F.lit(3))))
+    codons = codons.withColumn("acid", dna.acid(F.substring("seq", F.col("at") + 1, F.lit(3))))
     first = F.greatest(F.lit(0), F.ceil((F.col("at") + width - F.col("hi")) / 3))
     last = F.least(F.lit(width // 3 - 1), F.floor((F.col("at") - F.col("lo")) / 3))
     steps = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))

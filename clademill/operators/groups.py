@@ -35,11 +35,11 @@ def occurrence(rows: DataFrame, at_least: int, taxa: DataFrame | None = None) ->
     if taxa is None:
         return counts.groupBy("group_id").agg(F.max(F.col("n") >= at_least).alias("any_over"), F.min(F.col("n") >= at_least).alias("all_over"))
     listed = taxa.select("taxon").distinct()
-    wanted = listed.agg(F.count(F.lit(1)).alias("wanted"))
+    wanted = listed.count()
     over = counts.join(listed, "taxon", "left_semi").groupBy("group_id").agg(F.count_if(F.col("n") >= at_least).alias("over"))
-    every = rows.select("group_id").distinct().join(over, "group_id", "left").crossJoin(F.broadcast(wanted))  # one row
     n = F.coalesce("over", F.lit(0))
-    return every.select("group_id", (n > 0).alias("any_over"), ((n == F.col("wanted")) & (F.col("wanted") > 0)).alias("all_over"))
+    every = rows.select("group_id").distinct().join(over, "group_id", "left")
+    return every.select("group_id", (n > 0).alias("any_over"), ((n == wanted) & F.lit(wanted > 0)).alias("all_over"))
 
 
 def route(rows: DataFrame, max_size: int, at_least: int, by_size: bool = True, by_taxa: bool = True) -> DataFrame:

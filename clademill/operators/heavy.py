@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clademill.session import cut
+
 
 def weighted_values(df: DataFrame, key: Column, value: Column, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """One row ``key, value, weight`` (and ``extra`` aggregates) for each distinct pair.
@@ -56,7 +58,10 @@ def key_percentile(weights: DataFrame, p: float, bin_width: int = 64) -> DataFra
 
 
 def keys_above_share(profile: DataFrame, share: float) -> DataFrame:
-    """The non-null keys that hold at least ``share`` of all rows; rows with a null key count in the whole."""
-    whole = profile.agg(F.sum("n_rows").alias("whole"))
-    held = profile.crossJoin(F.broadcast(whole))  # one row
-    return held.filter(F.col("key").isNotNull() & (F.col("n_rows") >= F.col("whole") * F.lit(share))).select("key", "n_rows", "whole")
+    """``key, n_rows``: the non-null keys that hold at least ``share`` of all rows; rows with a null key count in the whole.
+
+    The counts, one row per key, are written once; only their sum comes to the driver.
+    """
+    counts = cut(profile.select("key", "n_rows"))
+    whole = counts.agg(F.sum("n_rows")).first()[0] or 0
+    return counts.filter(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(whole * share)))

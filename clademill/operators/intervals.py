@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clademill.session import cut
+
 BLOCK = 4096
 
 
@@ -25,7 +27,8 @@ def with_reach(starts: DataFrame) -> DataFrame:
     """Adds ``reach``, the furthest end of the entity's intervals that start earlier (null for the first).
 
     The running maximum is taken within each block; a window over the block maxima of an entity hands it
-    on from block to block, so that no task sorts a whole entity.
+    on from block to block, so that no task sorts a whole entity. ``starts`` is read twice; write it first if it is
+    costly.
     """
     before = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     within = W.partitionBy("key", "block").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
@@ -36,7 +39,7 @@ def with_reach(starts: DataFrame) -> DataFrame:
 
 def gaps(df: DataFrame, key: Column, start: Column, end: Column, block: int = BLOCK) -> DataFrame:
     """``key, gap_start, gap_end`` of the uncovered stretches between covered ones; touching ones leave no gap."""
-    reached = with_reach(distinct_starts(df, key, start, end, block))
+    reached = with_reach(cut(distinct_starts(df, key, start, end, block)))
     return reached.filter(F.col("lo") > F.col("reach")).select("key", F.col("reach").alias("gap_start"), F.col("lo").alias("gap_end"))
 
 
@@ -46,7 +49,7 @@ def merged_periods(df: DataFrame, key: Column, start: Column, end: Column, block
     An island is labelled by its first start: a running maximum of the island starts, again handed on from
     block to block.
     """
-    reached = with_reach(distinct_starts(df, key, start, end, block))
+    reached = with_reach(cut(distinct_starts(df, key, start, end, block)))
     head = F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach")), F.col("lo"))
     heads = reached.withColumn("head", head)
     before = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)

@@ -37,17 +37,21 @@ def singletons(rows: DataFrame, k: int, min_similarity: int) -> DataFrame:
     ``min_similarity + 1`` equal letters, one of the blocks below has to be equal throughout.
     """
     kmers = by_position(rows, k, clean=False)
-    kinds = kmers.groupBy("group_id", "pos", "kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(without_allele(F.col("seq_name"))).alias("records"), F.count_if(F.col("seq_name").rlike(r"_allele_[01]\z")).alias("phased"))
-    once = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("records") == 1) & (F.col("phased") == 2))
+    kinds = kmers.groupBy("group_id", "pos", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("seq_name").alias("one"), F.max("seq_name").alias("two"))
+    pair = F.col("one").rlike(r"_allele_0\z") & F.col("two").rlike(r"_allele_1\z") & (without_allele(F.col("one")) == without_allele(F.col("two")))
+    once = (F.col("n") == 1) | ((F.col("n") == 2) & pair)
     differ = k - min_similarity - 1
     blocks = differ + 1
     size = max(1, k // blocks)
     parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("kmer", i * size + 1, size if i < blocks - 1 else k).alias("part")) for i in range(blocks)])
-    keyed = kinds.select("group_id", "pos", "kmer", once.alias("once"), F.explode(parts).alias("b")).select("group_id", "pos", "kmer", "once", "b.i", "b.part")
-    rare = keyed.filter("once")
-    other = keyed.select("group_id", "pos", "i", "part", F.col("kmer").alias("other"))
-    near = (F.col("other") != F.col("kmer")) & (dna.similarity(F.col("kmer"), F.col("other")) > min_similarity)
-    supported = rare.join(other, ["group_id", "pos", "i", "part"]).filter(near).select("group_id", "pos", "kmer").distinct()
+    quick, keys = k <= dna.PACKED, ["group_id", "pos", "i", "part"]
+    mine, theirs = (dna.packed(F.col("kmer"), "u"), dna.packed(F.col("kmer"), "v")) if quick else (F.col("kmer"), F.col("kmer"))
+    coded = kinds.select("group_id", "pos", "kmer", once.alias("once"), mine.alias("mine"), theirs.alias("theirs"))
+    keyed = coded.select("group_id", "pos", "kmer", "once", "mine", "theirs", F.explode(parts).alias("b")).select("group_id", "pos", "kmer", "once", "mine", "theirs", "b.i", "b.part")
+    rare = keyed.filter("once").select(*keys, "kmer", "mine")
+    other = keyed.select(*keys, F.col("kmer").alias("other"), "theirs")
+    same = dna.packed_similarity(F.col("mine"), F.col("theirs"), k) if quick else dna.similarity(F.col("mine"), F.col("theirs"))
+    supported = rare.join(other, keys).filter((F.col("other") != F.col("kmer")) & (same > min_similarity)).select("group_id", "pos", "kmer").distinct()
     alone = kinds.filter(once).join(supported, ["group_id", "pos", "kmer"], "left_anti").select("group_id", "pos", "kmer")
     return kmers.join(alone, ["group_id", "pos", "kmer"], "left_semi").select("group_id", "seq_name", "pos")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clademill.functions import dna
@@ -129,3 +130,37 @@ def paralog_threshold(classified: DataFrame, ratio: float) -> DataFrame:
         F.max(F.when(F.col("kind") == "paralogs", F.col("distance"))).alias("far"), F.min(F.when(F.col("kind") == "paralogs", F.col("distance"))).alias("first"), F.max(F.when(F.col("kind") == "alleles", F.col("distance"))).alias("near"))
     supported = F.when(F.col("far") > F.col("near") * F.lit(ratio), F.col("near"))
     return by.groupBy("group_id").agg(F.coalesce(F.max(supported), F.min("first")).alias("min_distance")).filter("min_distance IS NOT NULL")
+
+
+def nearest(distances: DataFrame, k: int) -> DataFrame:
+    """``group_id, seq_name, other, distance, rank``: the ``k`` nearest records of each, ties by name."""
+    both = distances.select("group_id", F.explode(F.array(F.struct(F.col("a").alias("seq_name"), F.col("b").alias("other")), F.struct(F.col("b").alias("seq_name"), F.col("a").alias("other")))).alias("e"), "distance")
+    order = W.partitionBy("group_id", "seq_name").orderBy("distance", "other")
+    ranked = both.select("group_id", "e.seq_name", "e.other", "distance").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def shared_neighbours(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """``group_id, a, b, n_shared``: listed pairs whose nearest records, as ``nearest`` gives them, have some in common.
+
+    The pair itself is no witness; pairs without a common one are left out.
+    """
+    listed = pairs.select("group_id", "a", "b")
+    one = near.select("group_id", F.col("seq_name").alias("a"), F.col("other").alias("w"))
+    two = near.select("group_id", F.col("seq_name").alias("b"), F.col("other").alias("w"))
+    met = listed.join(one, ["group_id", "a"]).join(two, ["group_id", "b", "w"])
+    return met.groupBy("group_id", "a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def paralogy(members: DataFrame, barred: DataFrame) -> DataFrame:
+    """``group_id, c1, c2, score``: pairs of components between which there are paralogs.
+
+    The score is the larger share of a component's records that have a paralog (``barred``: group_id, a, b) in the other.
+    """
+    inside = members.select("group_id", "seq_name", "component")
+    sizes = inside.groupBy("group_id", "component").agg(F.count(F.lit(1)).alias("n"))
+    both = barred.select("group_id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("group_id", "e.x", "e.y")
+    placed = both.join(inside.select("group_id", F.col("seq_name").alias("x"), F.col("component").alias("cx")), ["group_id", "x"]).join(inside.select("group_id", F.col("seq_name").alias("y"), F.col("component").alias("cy")), ["group_id", "y"]).filter("cx <> cy")
+    hit = placed.groupBy("group_id", "cx", "cy").agg(F.count_distinct("x").alias("k")).join(sizes.withColumnRenamed("component", "cx"), ["group_id", "cx"])
+    score = hit.groupBy("group_id", F.least("cx", "cy").alias("c1"), F.greatest("cx", "cy").alias("c2")).agg(F.max(F.col("k") / F.col("n")).alias("score"))
+    return score.select("group_id", "c1", "c2", F.round("score", 6).alias("score"))

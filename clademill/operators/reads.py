@@ -93,3 +93,18 @@ def phase(mates: DataFrame, snps: DataFrame, width: int = 64) -> DataFrame:
     phased = turned.withColumn("t", total)
     ends = F.array(F.struct(F.lit(0).alias("allele"), F.when(F.col("t") == 0, F.col("b0")).otherwise(F.col("b1")).alias("base")), F.struct(F.lit(1).alias("allele"), F.when(F.col("t") == 0, F.col("b1")).otherwise(F.col("b0")).alias("base")))
     return phased.select("seq_name", "pos", F.explode(ends).alias("e")).select("seq_name", "pos", "e.allele", "e.base")
+
+
+def haplotypes(records: DataFrame, phased: DataFrame) -> DataFrame:
+    """``seq_name, seq`` of the phased records: two rows ``_allele_0`` and ``_allele_1`` for a record with phased positions.
+
+    The base of each allele replaces the record's letter in place; records without such a position stay one row with
+    their name. Positions beyond the end of a record change nothing. Gaps and ``n`` are removed at the end.
+    """
+    spots = phased.groupBy("seq_name", "allele").agg(F.sort_array(F.collect_list(F.struct("pos", "base"))).alias("spots"))
+    joined = records.select("seq_name", "seq").join(spots, "seq_name", "left")
+    put = lambda s, x: F.when((x["pos"] >= 0) & (x["pos"] < F.length(s)), F.overlay(s, x["base"], x["pos"] + 1)).otherwise(s)
+    none = F.array().cast("array<struct<pos:int,base:string>>")
+    done = F.translate(F.aggregate(F.coalesce("spots", none), F.col("seq"), put), "n-", "")
+    name = F.when(F.col("allele").isNull(), F.col("seq_name")).otherwise(F.concat("seq_name", F.lit("_allele_"), F.col("allele").cast("string")))
+    return joined.select(name.alias("seq_name"), done.alias("seq"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clademill import config
 from clademill.functions import dna, names
 from clademill.operators import columns, graph, groups, intervals, kmers, linkage, pairs, reads
+from clademill.plans import tools
 from clademill.plans.problems import sql_name
 from clademill.sources import alignments as src
 from clademill.sources.tables import table
@@ -455,3 +457,69 @@ def unmatched_references(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "contigs").select(names.name_of(F.col("taxon"), F.col("contig")).alias("seq_name")).unionByName(table(spark, folder, "target_loci").select("seq_name"))
     both = r.join(c.distinct().filter("seq_name IS NOT NULL").withColumn("c", F.lit(1)), "seq_name", "full_outer")
     return both.filter("r IS NULL OR c IS NULL").select("seq_name", F.when(F.col("c").isNull(), "reads only").otherwise("reference only").alias("side"))
+
+
+_NEAR = """nb AS (SELECT group_id, a n, b o, distance FROM pd UNION ALL SELECT group_id, b, a, distance FROM pd),
+nk AS (SELECT *, row_number() OVER (PARTITION BY group_id, n ORDER BY distance, o) rk FROM nb QUALIFY rk <= 5)"""
+
+
+@query(f"WITH {PD}, {_NEAR} SELECT group_id, n seq_name, o other, distance, rk::INTEGER \"rank\" FROM nk")
+def nearest_records(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.nearest(src.pair_distances(spark, folder), 5)
+
+
+@query(f"WITH {PD}, {_NEAR} SELECT pd.group_id, pd.a, pd.b, count(*) n_shared FROM pd JOIN nk x ON x.group_id = pd.group_id AND x.n = pd.a JOIN nk y ON y.group_id = pd.group_id AND y.n = pd.b AND y.o = x.o GROUP BY 1, 2, 3")
+def shared_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    listed = src.pair_distances(spark, folder)
+    return pairs.shared_neighbours(listed, pairs.nearest(listed, 5))
+
+
+@query()
+def paralogy_scores(spark: SparkSession, folder: str) -> DataFrame:
+    barred = classified(spark, folder).filter("kind = 'paralogs'").select("group_id", "a", "b")
+    return pairs.paralogy(close_components(spark, folder), barred)
+
+
+@query()
+def phased_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    own, snps = piled(spark, folder)
+    loci = table(spark, folder, "target_loci").select("seq_name", "seq")
+    return reads.haplotypes(loci, reads.phase(reads.mate_pairs(own), snps))
+
+
+def contig_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``seq_name, seq``: of the rows of one name the text that sorts last."""
+    rows = table(spark, folder, "contigs").filter("seq IS NOT NULL").select(names.name_of(F.col("taxon"), F.col("contig")).alias("seq_name"), F.upper("seq").alias("seq"))
+    return rows.filter("seq_name IS NOT NULL").groupBy("seq_name").agg(F.max("seq").alias("seq"))
+
+
+def outgroup_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return src.with_outgroup(src.aligned(spark, folder), src.outgroup_taxa(spark, folder))
+
+
+@query()
+def primary_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return tools.primary(src.hits(spark, folder), contig_texts(spark, folder), config.Primary(max_evalue=1e-50))
+
+
+@query()
+def secondary_groups(spark: SparkSession, folder: str) -> DataFrame:
+    rows = src.aligned(spark, folder).select("group_id", "seq_name", "seq")
+    return tools.secondary(rows, src.hits(spark, folder), config.Secondary(max_size=20, min_align_len=400, max_evalue=1e-100))
+
+
+@query()
+def outparalog_components(spark: SparkSession, folder: str) -> DataFrame:
+    p = config.Outparalogs(kmers=(6, 9), min_overlap=MIN_OVERLAP, min_taxa=3)
+    return tools.outparalogs(outgroup_rows(spark, folder), src.pair_distances(spark, folder), p, 50)
+
+
+@query()
+def inparalog_components(spark: SparkSession, folder: str) -> DataFrame:
+    p = config.Inparalogs(overlap_splitting=80, overlap_merging=MIN_OVERLAP, min_taxa=3)
+    return tools.numbered(tools.inparalogs(outgroup_rows(spark, folder), src.pair_distances(spark, folder), p))
+
+
+@query()
+def retrimmed(spark: SparkSession, folder: str) -> DataFrame:
+    return tools.retrim(src.aligned(spark, folder)).select("group_id", "seq_name", "seq")

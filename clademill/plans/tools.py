@@ -10,6 +10,7 @@ from clademill import config
 from clademill.functions import dna
 from clademill.functions.names import taxon_of
 from clademill.operators import columns, graph, groups, kmers, linkage, pairs
+from clademill.session import cut
 
 
 def primary(hits: DataFrame, contigs: DataFrame, p: config.Primary = config.Primary()) -> DataFrame:
@@ -113,10 +114,10 @@ def outparalogs(rows: DataFrame, distances: DataFrame, p: config.Outparalogs = c
     ``rows`` carry ``taxon`` and ``is_outgroup``; ``distances`` list the pairs that are looked at.
     """
     outgroups = rows.filter("is_outgroup").select("taxon").distinct()
-    counts = pairs.pair_counts(distances, rows)
-    members = sweep(rows, counts, outgroups, p, min_positions).withColumn("taxon", taxon_of(F.col("seq_name")))
+    counts = cut(pairs.pair_counts(distances, rows).select("group_id", "a", "b", "overlap"))
+    members = cut(sweep(rows, counts, outgroups, p, min_positions).withColumn("taxon", taxon_of(F.col("seq_name"))))
     fused = fuse(members, association_support(rows, members, p.kmers[0]), p.max_jaccard, p.min_association)
-    kept = large_components(fused, p.large_ratio)
+    kept = cut(large_components(fused, p.large_ratio))
     rest = rows.join(kept, ["group_id", "seq_name"], "left_anti")
     placed = pairs.nearest_component(distances, kept, rest, pairs.overlapping(counts, 0), p.max_distance, p.min_overlap, "is_outgroup")
     assigned = placed.filter("assigned").select("group_id", "seq_name", "component", F.lit("assigned").alias("outcome"))
@@ -132,17 +133,17 @@ def inparalogs(rows: DataFrame, distances: DataFrame, p: config.Inparalogs = con
     """
     barred = F.col("taxon").isin(*p.excluded_taxa) if p.excluded_taxa else F.lit(False)
     inner = rows.filter(~F.col("is_outgroup") & ~barred).select("group_id", "seq_name")
-    counts = pairs.pair_counts(distances, rows)
+    counts = cut(pairs.pair_counts(distances, rows).select("group_id", "a", "b", "overlap"))
     both = pairs.overlapping(counts, p.overlap_merging)
     listed = distances.join(inner.withColumnRenamed("seq_name", "a"), ["group_id", "a"], "left_semi").join(inner.withColumnRenamed("seq_name", "b"), ["group_id", "b"], "left_semi")
-    kinds = pairs.paralogs_and_alleles(listed, both, p.max_allele_distance)
+    kinds = cut(pairs.paralogs_and_alleles(listed, both, p.max_allele_distance))
     limit = pairs.paralog_threshold(kinds, p.distance_ratio)
     cannot = kinds.join(limit, "group_id").filter("distance >= min_distance").select("group_id", "a", "b")
     furthest = kinds.filter("kind = 'paralogs'").groupBy("group_id").agg(F.max("distance").alias("most"))
     near = listed.join(both.select("group_id", F.col("seq_name").alias("a"), F.col("other").alias("b")), ["group_id", "a", "b"], "left_semi")
     edges = near.join(furthest, "group_id").filter("distance < most").join(cannot, ["group_id", "a", "b"], "left_anti")
     members = linkage.constrained_linkage(edges, cannot).select("group_id", "seq_name", F.col("cluster").alias("component"))
-    kept = large_components(members, p.large_ratio)
+    kept = cut(large_components(cut(members), p.large_ratio))
     rest = rows.join(kept, ["group_id", "seq_name"], "left_anti").join(furthest.select("group_id"), "group_id", "left_semi")
     placed = pairs.nearest_component(distances, kept, rest, pairs.overlapping(counts, 0), p.max_allele_distance, p.overlap_splitting, "is_outgroup")
     known = kept.withColumn("outcome", F.lit("component")).unionByName(placed.filter("assigned").select("group_id", "seq_name", "component", F.lit("assigned").alias("outcome")))

@@ -17,7 +17,9 @@ def aligned(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = table(spark, folder, "alignments").select("group_id", canonical_name(F.col("seq_name")).alias("seq_name"), F.upper("seq").alias("seq"), "aligned_at")
     rows = rows.filter("group_id IS NOT NULL AND seq_name IS NOT NULL AND seq IS NOT NULL")
-    last = rows.groupBy("group_id", "seq_name").agg(F.max(F.struct("aligned_at", "seq")).alias("m"))
+    # the rows are few bytes but much work, so their tasks are not merged
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = rows.repartition(tasks, "group_id", "seq_name").groupBy("group_id", "seq_name").agg(F.max(F.struct("aligned_at", "seq")).alias("m"))
     return last.select("group_id", "seq_name", taxon_of(F.col("seq_name")).alias("taxon"), contig_of(F.col("seq_name")).alias("contig"), F.col("m.seq").alias("seq"))
 
 

@@ -83,3 +83,35 @@ def test_config(tmp_path):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_packed_similarity(spark):
+    rnd = random.Random(1)
+    rows = [tuple("".join(rnd.choice("ACGTNRV-") for _ in range(12)) for _ in range(2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    quick = dna.packed_similarity(dna.packed(F.col("a"), "u"), dna.packed(F.col("b"), "v"), 12)
+    assert df.filter(quick != dna.similarity(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_nearest_and_shared(spark):
+    listed = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "a", "c", 2.0), ("g", "b", "c", 1.0), ("g", "c", "d", 9.0)], "group_id string, a string, b string, distance double")
+    near = pairs.nearest(listed, 1)
+    assert {(r.seq_name, r.other) for r in near.collect()} == {("a", "b"), ("b", "a"), ("c", "b"), ("d", "c")}
+    assert {(r.a, r.b, r.n_shared) for r in pairs.shared_neighbours(listed, near).collect()} == {("a", "c", 1)}
+
+
+def test_haplotypes(spark):
+    records = spark.createDataFrame([("s", "ACGTn-A"), ("t", "AC")], "seq_name string, seq string")
+    phased = spark.createDataFrame([("s", 0, 0, "T"), ("s", 0, 1, "G"), ("s", 3, 0, "A"), ("s", 3, 1, "C"), ("s", 99, 0, "A")], "seq_name string, pos int, allele int, base string")
+    got = {r.seq_name: r.seq for r in reads.haplotypes(records, phased).collect()}
+    assert got == {"s_allele_0": "TCGAA", "s_allele_1": "GCGCA", "t": "AC"}
+
+
+def test_phase_follows_reads(spark):
+    rows = [("s", f"r{i}", 0, "AAAAA" if i % 2 else "TAAAC") for i in range(6)] + [("s", f"q{i}", 4, "AGG" if i % 2 else "CGT") for i in range(6)]
+    df = spark.createDataFrame(rows, "seq_name string, read_name string, lo int, seq string").withColumn("hi", F.col("lo") + F.length("seq"))
+    snps = reads.variable_positions(reads.pileup(df), 4, 0.33)
+    got = {}
+    for r in reads.phase(df, snps).collect():
+        got.setdefault(r.allele, {})[r.pos] = r.base
+    assert sorted("".join(v[p] for p in sorted(v)) for v in got.values()) == ["AAG", "TCT"]
