@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,4 +65,5 @@ def keys_above_share(profile: DataFrame, share: float) -> DataFrame:
     """
     counts = cut(profile.select("key", "n_rows"))
     whole = counts.agg(F.sum("n_rows")).first()[0] or 0
-    return counts.filter(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(whole * share)))
+    exact = Fraction(str(share))
+    return counts.filter(F.col("key").isNotNull() & (F.col("n_rows") * exact.denominator >= F.lit(whole * exact.numerator)))
