@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clademill.operators.intervals import merged_periods
+from clademill.session import cut
 
 #: Letters of a span; a k-mer of this length is an edge.
 SPAN = 120
@@ -91,33 +92,43 @@ def seeded_runs(df: DataFrame, name: Column, row: Column, seq: Column, span: int
     return source.mapInArrow(run, schema)
 
 
-def shared_runs(runs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``seed, run, skip, path``: the paths of k-mers that lie in more than one record, by the distinct run that holds them.
+def repeated_runs(runs: DataFrame) -> DataFrame:
+    """The runs whose seed lies in more than one name, with ``rid`` and ``owner`` as numbers for run text and name.
+
+    Only seeds and numbers are shuffled to find them; the texts move once, and what is left is written.
+    """
+    marked = runs.select("*", F.xxhash64("name").alias("owner"))
+    seeds = marked.groupBy("seed").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi").select("seed")
+    return cut(marked.join(seeds, "seed", "left_semi").withColumn("rid", F.xxhash64("run")))
+
+
+def shared_runs(held: DataFrame, span: int = SPAN) -> DataFrame:
+    """``seed, rid, skip, n``: the paths of ``n`` k-mers that lie in more than one record, by the distinct run that holds them.
 
     Distinct runs stand for all their copies, so a group of copies costs one row. A run of a seed that no other run
     has is a path as it is. Otherwise its k-mers are the edges of a graph: one leads on to the next without a
     branch if each always has the other beside it. Such paths, found by joining each edge with its counts, become one row.
     """
-    distinct = runs.groupBy("seed", "run").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
-    repeated = distinct.groupBy("seed").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi"), F.count(F.lit(1)).alias("runs")).filter("slo <> shi").select("seed", "runs")
-    kept = distinct.join(repeated, "seed")
-    whole = kept.filter("runs = 1").select("seed", "run", F.lit(0).alias("skip"), F.col("run").alias("path"))
+    distinct = held.groupBy("seed", "rid").agg(F.first("run").alias("run"), F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+    several = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("runs"))
+    kept = cut(distinct.join(several, "seed"))
+    whole = kept.filter("runs = 1").select("seed", "rid", F.lit(0).alias("skip"), (F.length("run") - (span - 1)).alias("n"))
     hashes = F.transform(F.sequence(F.lit(1), F.length("run") - (span - 1)), lambda i: F.xxhash64(F.substring("run", i, F.lit(span))))
-    edges = kept.filter("runs > 1").select("seed", "run", "lo", "hi", hashes.alias("h")).select("seed", "run", "lo", "hi", "h", F.posexplode("h").alias("i", "edge"))
-    edges = edges.select("seed", "run", "lo", "hi", "i", "edge", F.get("h", F.col("i") - 1).alias("before"), F.get("h", F.col("i") + 1).alias("after"))
+    edges = kept.filter("runs > 1").select("seed", "rid", "lo", "hi", hashes.alias("h"))
+    edges = edges.select("seed", "rid", "lo", "hi", "h", F.posexplode("h").alias("i", "edge"))
+    edges = edges.select("seed", "rid", "lo", "hi", "i", "edge", F.get("h", F.col("i") - 1).alias("before"), F.get("h", F.col("i") + 1).alias("after"))
     counts = edges.groupBy("seed", "edge").agg(
         F.min("lo").alias("elo"), F.max("hi").alias("ehi"), F.count(F.lit(1)).alias("n"),
         F.count("before").alias("nb"), F.min("before").alias("b0"), F.max("before").alias("b1"),
         F.count("after").alias("na"), F.min("after").alias("a0"), F.max("after").alias("a1"),
     ).filter("elo <> ehi").select("seed", "edge", ((F.col("nb") == F.col("n")) & (F.col("b0") == F.col("b1"))).alias("one_in"), ((F.col("na") == F.col("n")) & (F.col("a0") == F.col("a1"))).alias("one_out"))
-    own = W.partitionBy("seed", "run").orderBy("i")
-    met = edges.select("seed", "run", "i", "edge").join(counts, ["seed", "edge"])
+    own = W.partitionBy("seed", "rid").orderBy("i")
+    met = edges.select("seed", "rid", "i", "edge").join(counts, ["seed", "edge"])
     linked = F.col("one_in") & (F.lag("i").over(own) == F.col("i") - 1) & F.lag("one_out").over(own)
     steps = met.withColumn("head", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1))
     islands = steps.withColumn("k", F.sum("head").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    paths = islands.groupBy("seed", "run", "k").agg(F.min("i").alias("skip"), F.count(F.lit(1)).alias("n"))
-    found = paths.select("seed", "run", "skip", F.substring("run", F.col("skip") + 1, F.col("n") + (span - 1)).alias("path"))
-    return whole.unionByName(found)
+    paths = islands.groupBy("seed", "rid", "k").agg(F.min("i").alias("skip"), F.count(F.lit(1)).alias("n"))
+    return whole.unionByName(paths.select("seed", "rid", "skip", F.col("n").cast("int").alias("n")))
 
 
 def shared_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: int = SPAN) -> DataFrame:
@@ -125,8 +136,9 @@ def shared_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: in
 
     The path is the text itself, taken at its coordinates, so equal paths are equal spans.
     """
-    runs = seeded_runs(df, name, row, seq, span)
-    return runs.join(shared_runs(runs, span), ["seed", "run"]).select("path", "name", "row", (F.col("at") + F.col("skip")).alias("at"))
+    held = repeated_runs(seeded_runs(df, name, row, seq, span))
+    placed = held.join(shared_runs(held, span), ["seed", "rid"])
+    return placed.select(F.substring("run", F.col("skip") + 1, F.col("n") + (span - 1)).alias("path"), "name", "row", (F.col("at") + F.col("skip")).alias("at"))
 
 
 def span_pairs(paths: DataFrame) -> DataFrame:
