@@ -27,12 +27,13 @@ PD = f"""
 pr AS (SELECT group_id, {sql_name('a')} x, {sql_name('b')} y, distance FROM distances WHERE group_id IS NOT NULL AND distance IS NOT NULL AND NOT isnan(distance)),
 pd AS (SELECT group_id, least(x, y) a, greatest(x, y) b, round(avg(distance), 6) distance FROM pr WHERE x <> y GROUP BY ALL)"""
 LONG = "lf AS (SELECT group_id, seq_name, taxon, i - 1 pos, substr(seq, i::BIGINT, 1) ch FROM (SELECT *, unnest(range(1, length(seq) + 1)) i FROM al))"
-COUNTS = f"""{AL}, {PD},
+COUNTED = f"""
 pl AS (SELECT pd.group_id, a, b, x.seq sa, y.seq sb, unnest(range(1, least(length(x.seq), length(y.seq)) + 1)) i FROM pd JOIN al x ON x.group_id = pd.group_id AND x.seq_name = a JOIN al y ON y.group_id = pd.group_id AND y.seq_name = b),
 pc AS (SELECT group_id, a, b, substr(sa, i::BIGINT, 1) p, substr(sb, i::BIGINT, 1) q FROM pl),
 ct AS (SELECT group_id, a, b, count(*) FILTER (p <> '-' AND q <> '-') overlap, count(*) FILTER (p IN ('A','C','G','T') AND q IN ('A','C','G','T')) compared,
     count(*) FILTER (p = q AND p IN ('A','C','G','T')) same, count(*) FILTER (p || q IN ('AG','GA','CT','TC')) ts,
     count(*) FILTER (p IN ('C','G') AND q IN ('A','C','G','T')) gca, count(*) FILTER (q IN ('C','G') AND p IN ('A','C','G','T')) gcb FROM pc GROUP BY ALL)"""
+COUNTS = f"{AL}, {PD}, {COUNTED}"
 RD = f"""
 r0 AS (SELECT DISTINCT {sql_name('seq_name')} seq_name, read_name, read_start lo, upper(seq) seq FROM reads),
 rd AS (SELECT *, lo + length(seq) hi FROM r0 WHERE seq_name IS NOT NULL AND read_name IS NOT NULL AND lo IS NOT NULL AND length(seq) > 0)"""
@@ -210,7 +211,14 @@ def pairwise_model_distances(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.distances(counts).select("group_id", "a", "b", "uncorrected", "kimura", "tamura", "jin_nei")
 
 
-@query()
+_MIX = " + ".join(f"CASE WHEN n_{x}{y} > 0 THEN n_{x}{y} * n_{x}{y} * 2.0 / (n_{x} * n_{y}) ELSE 0 END" for x, y in pairs.MIXED)
+_TN = f"""tn AS (SELECT group_id, a, b, count(*) FILTER (ok) n, count(*) FILTER (ok AND p <> q) d, {', '.join(f"count(*) FILTER (ok AND p = '{x}') + count(*) FILTER (ok AND q = '{x}') n_{x}" for x in pairs.BASES)},
+    {', '.join(f"count(*) FILTER (p || q IN ('{x}{y}', '{y}{x}')) n_{x}{y}" for x, y in pairs.MIXED)} FROM (SELECT *, p IN ('A','C','G','T') AND q IN ('A','C','G','T') ok FROM pc) GROUP BY ALL),
+tp AS (SELECT *, d / nullif(n, 0) p, {' + '.join(f"power(n_{x} / (2 * nullif(n, 0)), 2)" for x in pairs.BASES)} s, {_MIX} h FROM tn),
+tb AS (SELECT *, (1 - s + CASE WHEN h > 0 THEN p * p / h ELSE 0 END) / 2 b0 FROM tp)"""
+
+
+@query(f"WITH {COUNTS}, {_TN} SELECT group_id, a, b, round(CASE WHEN n = 0 THEN NULL WHEN p = 0 THEN 0.0 WHEN b0 > 0 AND 1 - p / b0 > 0 THEN -100.0 * b0 * ln(1 - p / b0) + 0.0 END, 6) tajima_nei FROM tb")
 def pairwise_tajima_nei(spark: SparkSession, folder: str) -> DataFrame:
     counts = pairs.pair_counts(src.pair_distances(spark, folder), src.aligned(spark, folder))
     return pairs.distances(counts).select("group_id", "a", "b", "tajima_nei")
@@ -260,7 +268,10 @@ def cleaned_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return done.unionByName(rows.filter("is_outgroup")).select("group_id", "seq_name", "seq")
 
 
-@query()
+@query(f"""WITH {AL}, {PD}, {_KM}, kc AS (SELECT * FROM km WHERE NOT regexp_matches(kmer, '[N-]')), kn AS (SELECT group_id, pos, kmer FROM kc GROUP BY ALL HAVING count(*) > 1), kg AS (SELECT kc.* FROM kc SEMI JOIN kn USING (group_id, pos, kmer)),
+    oft AS (SELECT group_id, seq_name FROM kg GROUP BY 1, 2 HAVING count(*) > 50), hd AS (SELECT kg.* FROM kg SEMI JOIN oft USING (group_id, seq_name)),
+    sc AS (SELECT pd.group_id, a, b, count(*) FILTER (x.kmer = y.kmer) together, count(*) compared FROM pd JOIN hd x ON x.group_id = pd.group_id AND x.seq_name = a JOIN hd y ON y.group_id = pd.group_id AND y.seq_name = b AND y.pos = x.pos GROUP BY 1, 2, 3)
+    SELECT group_id, a, b, together::INTEGER together, compared::INTEGER compared, round(CASE WHEN compared > 50 THEN together / compared ELSE 0.0 END, 6) score FROM sc WHERE together > 0""")
 def kmer_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kmers.pair_scores(src.aligned(spark, folder), K, 50, src.pair_distances(spark, folder))
 
@@ -334,7 +345,12 @@ def component_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.taxon_jaccard(close_components(spark, folder))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CP}, {OUT}, {COUNTED},
+    un AS (SELECT al.group_id, al.seq_name, al.taxon IN (SELECT taxon FROM og) relaxed FROM al ANTI JOIN mb ON mb.group_id = al.group_id AND mb.seq_name = al.seq_name),
+    bo AS (SELECT group_id, a seq_name, b member, distance FROM pd UNION ALL SELECT group_id, b, a, distance FROM pd),
+    nc AS (SELECT un.group_id, un.seq_name, relaxed, component, distance FROM un JOIN bo USING (group_id, seq_name) JOIN mb ON mb.group_id = un.group_id AND mb.seq_name = bo.member QUALIFY row_number() OVER (PARTITION BY un.group_id, un.seq_name ORDER BY distance, member) = 1),
+    ov AS (SELECT o.group_id, o.n seq_name, component, max(overlap) overlap FROM (SELECT group_id, a n, b m, overlap FROM ct WHERE overlap > 0 UNION ALL SELECT group_id, b, a, overlap FROM ct WHERE overlap > 0) o JOIN mb ON mb.group_id = o.group_id AND mb.seq_name = o.m GROUP BY 1, 2, 3)
+    SELECT nc.group_id, nc.seq_name, nc.component, distance, coalesce(overlap, 0)::INTEGER overlap, (distance <= CASE WHEN relaxed THEN 80.0 ELSE 40.0 END AND coalesce(overlap, 0) > {MIN_OVERLAP}) OR distance <= 40.0 / 3 assigned FROM nc LEFT JOIN ov USING (group_id, seq_name, component)""")
 def nearest_component(spark: SparkSession, folder: str) -> DataFrame:
     rows, listed = src.aligned(spark, folder), src.pair_distances(spark, folder)
     members = close_components(spark, folder)
@@ -374,7 +390,9 @@ def consensus_iupac(spark: SparkSession, folder: str) -> DataFrame:
     return columns.consensus(src.aligned(spark, folder))
 
 
-@query()
+@query(f"""WITH {AL}, {LONG}, n AS (SELECT group_id, pos, ch, count(*) FILTER (regexp_matches(seq_name, '_allele_[01]$')) own, count(*) FILTER (NOT regexp_matches(seq_name, '_allele_[01]$')) rest FROM lf WHERE ch IN ('A','C','G','T') GROUP BY ALL),
+    m AS (SELECT *, own > 0 AND rest > 0.25 * sum(rest) OVER (PARTITION BY group_id, pos) o FROM n), g AS (SELECT group_id, pos, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (own > 0), '-') b, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (o), '') w FROM m GROUP BY 1, 2)
+    SELECT group_id, pos::INTEGER pos, CASE WHEN length(b) = 1 THEN b WHEN length(w) = 1 THEN w ELSE CASE b {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in dna.IUPAC.items())} END END code FROM g""")
 def allele_consensus(spark: SparkSession, folder: str) -> DataFrame:
     rows = src.aligned(spark, folder)
     return columns.majority_consensus(rows.withColumn("path", F.col("seq_name").rlike(r"_allele_[01]\z")), "path")
