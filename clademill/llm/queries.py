@@ -111,5 +111,12 @@ SQL = {
         e AS (SELECT a, b FROM h WHERE a <> b UNION SELECT b, a FROM h WHERE a <> b),
         r(seq_name, other) AS (SELECT a, a FROM e UNION SELECT r.seq_name, e.b FROM r JOIN e ON r.other = e.a)
         SELECT seq_name, min(other) group_name FROM r GROUP BY seq_name""",
+    "p6_shared": f"""WITH c AS (SELECT row_id, {_NAME} nm, upper(replace(seq, '-', '')) s FROM contigs),
+        q AS (SELECT row_id, nm, i - 1 p, substr(s, i::BIGINT, 120) k FROM (SELECT *, unnest(range(1, length(s) - 118)) i FROM c WHERE nm IS NOT NULL AND length(s) >= 120)),
+        sh AS (SELECT k FROM q WHERE regexp_full_match(k, '[ACGT]{{120}}') GROUP BY k HAVING count(DISTINCT nm) > 1),
+        sp AS (SELECT row_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row_id ORDER BY p) + 120 THEN 0 ELSE 1 END h FROM q SEMI JOIN sh USING (k)),
+        il AS (SELECT row_id, max(p) + 120 - min(p) n FROM (SELECT *, sum(h) OVER (PARTITION BY row_id ORDER BY p) g FROM sp) GROUP BY row_id, g),
+        t AS (SELECT row_id, sum(n) n_shared, max(n) longest FROM il GROUP BY 1)
+        SELECT c.row_id, nm seq_name, coalesce(length(s), 0) n_letters, coalesce(n_shared, 0)::BIGINT n_shared, coalesce(longest, 0)::BIGINT longest FROM c LEFT JOIN t ON c.row_id = t.row_id""",
     "p6_found": f"WITH {_STRETCHES} SELECT DISTINCT x.nm name_a, y.nm name_b FROM w x JOIN w y ON x.k = y.k AND x.nm < y.nm",
 }
