@@ -22,11 +22,11 @@ def kmer_counts(kmers: DataFrame) -> DataFrame:
 
 
 def kmer_groups(kmers: DataFrame) -> DataFrame:
-    """``group_id, pos, kmer, members``: the records of each k-mer that two or more have at one position.
+    """``group_id, pos, kmer, seq_name``: the records of each k-mer that two or more have at one position.
 
-    A list has at most one name per record of its group.
+    One row per record, not a list per k-mer, so a k-mer that all records of a large group share stays spread out.
     """
-    return kmers.groupBy("group_id", "pos", "kmer").agg(F.sort_array(F.collect_set("seq_name")).alias("members")).filter(F.size("members") > 1)
+    return kmers.join(kmer_counts(kmers).filter("n > 1"), ["group_id", "pos", "kmer"], "left_semi")
 
 
 def singletons(rows: DataFrame, k: int, min_similarity: int) -> DataFrame:
@@ -89,7 +89,7 @@ def pair_scores(rows: DataFrame, k: int, min_positions: int, pairs: DataFrame |
     (group_id, a, b) if given, else those that are grouped somewhere.
     """
     kmers = by_position(rows, k)
-    grouped = kmers.join(kmer_counts(kmers).filter("n > 1"), ["group_id", "pos", "kmer"], "left_semi")
+    grouped = kmer_groups(kmers)
     often = grouped.groupBy("group_id", "seq_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_positions).select("group_id", "seq_name")
     held = grouped.join(often, ["group_id", "seq_name"], "left_semi")
     if pairs is None:
