@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,15 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clademill.llm.components import components
-from clademill.session import cut
+from clademill.session import cut, is_empty
 
 #: Distances below this are close; the data leave 15 to 20 empty.
 CLOSE = 17.5
 DIMENSIONS, ROUNDS, SHARPNESS = 32, 5, 4
-#: Neighbours in the space of unit vectors; also the margin by which cells overlap.
+#: Neighbours in the space of unit vectors; also the width by which cells overlap.
 RADIUS = 0.2
-CELL = 0.4
-#: Points of a group per cell that is aimed at; larger groups are cut along more dimensions.
+#: Points per cell that is aimed at; larger cells are parted.
 CELL_POINTS = 2000
 
 
@@ -84,44 +86,94 @@ def micro_points(vectors: DataFrame) -> DataFrame:
     return keyed.groupBy("group", "point").agg(mean.alias("v"), F.count(F.lit(1)).alias("n"))
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """``group, cell, before, point, v``: each cell of ``rows`` (with its size ``n``) in overlapping cells around some of its points.
+
+    A point lies in the cell of each pivot whose bisector with the point's nearest pivot it passes by half the radius at
+    most. The midpoint of two points within the radius has a nearest pivot, and both lie in that one's cell. Pivots are a small
+    share of the points, so they are sent to every task.
+    """
+    many = F.greatest(F.lit(8), F.least(F.lit(256), F.ceil(4 * F.col("n") / CELL_POINTS)))
+    pivots: dict[tuple, list] = {}
+    for r in rows.filter(F.pmod(F.xxhash64("cell", "point"), F.col("n")) < many).select("group", "cell", "v").collect():
+        pivots.setdefault((r["group"], r["cell"]), []).append(r["v"])
+    centres = {k: normed(x) for k, x in pivots.items()}
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(["group", "cell"], sort=False):
+                c = centres.get(key)
+                if c is None:
+                    yield part.assign(cell=part["cell"] + ".")
+                    continue
+                for lo in range(0, len(part), 2048):
+                    own = part.iloc[lo : lo + 2048]
+                    cosine = normed(own["v"]) @ c.T
+                    nearest = cosine.argmax(axis=1)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[nearest]
+                    behind = 2 * (cosine[np.arange(len(own)), nearest][:, None] - cosine)
+                    i, j = np.nonzero(behind <= RADIUS * apart + 1e-5)
+                    yield own.iloc[i].assign(cell=own["cell"].to_numpy()[i] + "." + j.astype(str).astype(object))
+
+    plain = rows.select("group", "cell", F.col("n").alias("before"), "point", "v")
+    return plain.mapInPandas(split, plain.schema)
+
+
+def cells(points: DataFrame) -> DataFrame:
+    """``group, cell, point, v``: overlapping cells of about ``CELL_POINTS`` points at most; two points within ``RADIUS`` share one.
+
+    A group that is small enough is one cell; larger cells are parted again and again. Where that hardly
+    separates points, as in a spot no wider than the radius, each pair of blocks of the points is a cell.
+    """
+    found = []
+    rest = points.select("group", F.lit("").alias("cell"), F.lit(None).cast("bigint").alias("before"), "point", "v")
+    while True:
+        large = cut(rest.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_POINTS))
+        if is_empty(large):
+            found.append(rest.select("group", "cell", "point", "v"))
+            break
+        found.append(rest.join(large, ["group", "cell"], "left_anti").select("group", "cell", "point", "v"))
+        over = cut(rest.join(large, ["group", "cell"]).withColumn("stuck", F.coalesce(F.col("n") > 0.7 * F.col("before"), F.lit(False))))
+        blocks = F.ceil(3 * F.col("n") / CELL_POINTS).cast("int")
+        block = F.pmod(F.xxhash64("point"), blocks)
+        both = over.filter("stuck").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        name = F.concat_ws("-", F.concat("cell", F.lit(":"), F.least("block", "other").cast("string")), F.greatest("block", "other").cast("string"))
+        found.append(both.select("group", name.alias("cell"), "point", "v"))
+        rest = cut(parted(over.filter("NOT stuck")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def normed(rows: Iterable) -> np.ndarray:
+    """Vectors as rows of length one."""
+    v = np.stack([np.asarray(x, dtype=np.float32) for x in rows])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def local_links(points: DataFrame) -> DataFrame:
-    """``point, rep``: within each cell, points and the first point of their local cluster.
+    """``group, point, rep``: within each cell, points and the first point of their local cluster.
 
-    Cells of width ``CELL`` along as many dimensions as the group is large overlap by ``RADIUS``, so each point's
-    whole neighbourhood lies in its home cell. A point with a neighbour is a core point; one that lies in several
+    Any two points within ``RADIUS`` share a cell. A point with a neighbour is a core point; one that lies in several
     cells links their local clusters.
     """
-    sized = points.join(points.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
-    dims = F.greatest(F.lit(0), F.least(F.lit(8), F.ceil(F.log(F.col("size") / CELL_POINTS) / F.log(F.lit(3.0))))).cast("int")
-    cells = sized.withColumn("dims", dims).withColumn("cell", F.lit(""))
-    for i in range(8):
-        x = F.get("v", F.lit(i))
-        places = F.sequence(F.floor((x - RADIUS) / CELL), F.floor((x + RADIUS) / CELL))
-        cells = cells.withColumn("c", F.explode(F.when(F.col("dims") > i, places).otherwise(F.array(F.lit(0).cast("bigint"))))).withColumn("cell", F.concat_ws(",", "cell", "c")).drop("c")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point")
-        v = np.stack(rows["v"].to_numpy()).astype(np.float32)
-        label = np.arange(len(v))
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        for lo in range(0, len(v), 512):
-            near = 2 - 2 * np.minimum(1, v[lo : lo + 512] @ v.T / np.outer(np.linalg.norm(v[lo : lo + 512], axis=1), np.linalg.norm(v, axis=1))) <= RADIUS**2
-            for i, j in zip(*np.nonzero(near)):
-                if j < i + lo:
-                    p, q = sorted((root(i + lo), root(j)))
-                    label[q] = p
-        reps = [root(i) for i in range(len(v))]
+        v = normed(rows["v"])
+        first, left = np.arange(len(v)), np.arange(len(v))
+        while len(left):
+            reached, left = left[:1], left[1:]
+            seed = reached[0]
+            while len(reached) and len(left):
+                near = np.zeros(len(left), dtype=bool)
+                for lo in range(0, len(reached), 512):
+                    near |= (2 - 2 * (v[reached[lo : lo + 512]] @ v[left].T) <= RADIUS**2).any(axis=0)
+                reached, left = left[near], left[~near]
+                first[reached] = seed
         names = rows["point"].to_numpy()
-        return pd.DataFrame({"group": rows["group"].to_numpy(), "point": names, "rep": names[reps]})
+        return pd.DataFrame({"group": rows["group"].to_numpy(), "point": names, "rep": names[first]})
 
     kind = points.schema["group"].dataType.simpleString()
-    found = cells.select("group", "cell", "point", "v").groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string, rep string")
+    found = cells(points).groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string, rep string")
     return found.filter("point <> rep").distinct()
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clademill.llm import clusters, components, fusion
@@ -103,3 +104,25 @@ def test_cells_change_nothing(spark, monkeypatch):
     members = clusters.density_clusters(clusters.measured(df, F.col("g"), F.col("a"), F.col("b"), F.col("d"))).collect()
     got = {tuple(sorted((x.name, y.name))) for x in members for y in members if x.cluster == y.cluster and x.name < y.name}
     assert got == truth
+
+
+def test_cells_are_bounded_and_hold_every_near_pair(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(300, 32))
+    v = np.concatenate([rnd.normal(size=(900, 32)), centres / np.linalg.norm(centres, axis=1, keepdims=True), np.repeat(centres[:100], 6, axis=0) + rnd.normal(size=(600, 32)) * 0.08])
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    spot = v[0] + rnd.normal(size=(300, 32)) * 0.002
+    v = np.concatenate([v, (spot / np.linalg.norm(spot, axis=1, keepdims=True)).astype(np.float32)])
+    df = spark.createDataFrame([("g", f"p{i:04d}", x.tolist()) for i, x in enumerate(v)], "group string, point string, v array<float>")
+    monkeypatch.setattr(clusters, "CELL_POINTS", 150)
+    held = {}
+    for r in clusters.cells(df).collect():
+        held.setdefault(r.cell, []).append(int(r.point[1:]))
+    assert max(map(len, held.values())) <= 150
+    near = {(i, j) for i, j in zip(*np.nonzero(2 - 2 * (v.astype(float) @ v.T.astype(float)) < 0.2**2 - 1e-5)) if i < j}
+    shared = {(i, j) for members in held.values() for i in members for j in members if i < j}
+    assert len(near) > 40_000 and near <= shared
+    joined = {r.vertex: r.component for r in components.components(clusters.local_links(df).select(F.col("point").alias("a"), F.col("rep").alias("b"))).collect()}
+    assert all(joined[f"p{i:04d}"] == joined[f"p{j:04d}"] for i, j in near)
+    monkeypatch.setattr(clusters, "CELL_POINTS", 10_000)
+    assert joined == {r.vertex: r.component for r in components.components(clusters.local_links(df).select(F.col("point").alias("a"), F.col("rep").alias("b"))).collect()}
