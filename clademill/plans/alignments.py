@@ -10,6 +10,7 @@ from clademill.functions import dna, names
 from clademill.operators import columns, graph, groups, intervals, kmers, linkage, pairs, reads
 from clademill.plans import tools
 from clademill.plans.problems import sql_name
+from clademill.session import cut
 from clademill.sources import alignments as src
 from clademill.sources.tables import table
 
@@ -502,7 +503,8 @@ def paralogy_scores(spark: SparkSession, folder: str) -> DataFrame:
 def phased_sequences(spark: SparkSession, folder: str) -> DataFrame:
     own, snps = piled(spark, folder)
     loci = table(spark, folder, "target_loci").select("seq_name", "seq")
-    return reads.haplotypes(loci, reads.phase(reads.mate_pairs(own), snps))
+    records = loci.unionByName(contig_texts(spark, folder).join(loci, "seq_name", "left_anti"))
+    return reads.haplotypes(records, reads.phase(cut(reads.mate_pairs(own)), cut(snps)))
 
 
 def contig_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clademill import config
 from clademill.functions import dna
 from clademill.operators import columns, kmers, pairs, reads
+from clademill.plans import alignments
 
 SCHEMA = "group_id string, seq_name string, seq string"
 
@@ -115,3 +116,14 @@ def test_phase_follows_reads(spark):
     for r in reads.phase(df, snps).collect():
         got.setdefault(r.allele, {})[r.pos] = r.base
     assert sorted("".join(v[p] for p in sorted(v)) for v in got.values()) == ["AAG", "TCT"]
+
+
+def test_phased_sequences_of_contigs_and_loci(spark, tmp_path):
+    spark.createDataFrame([("gen_sp|l1", "ACGT")], "seq_name string, seq string").write.parquet(f"{tmp_path}/target_loci.parquet")
+    contigs = [("gen_sp", "l1", "TTTT"), ("gen_sp", "c1", "acgta"), ("gen_sp", "c2", "CCCC"), ("gen_sp", "c3", None)]
+    spark.createDataFrame(contigs, "taxon string, contig string, seq string").write.parquet(f"{tmp_path}/contigs.parquet")
+    reads_of = [("gen_sp|c1", f"r{i}", 1, "CGT" if i % 2 else "GGA") for i in range(6)]
+    spark.createDataFrame(reads_of, "seq_name string, read_name string, read_start int, seq string").write.parquet(f"{tmp_path}/reads.parquet")
+    got = {r.seq_name: r.seq for r in alignments.QUERIES["phased_sequences"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {"gen_sp|l1", "gen_sp|c1_allele_0", "gen_sp|c1_allele_1", "gen_sp|c2"}
+    assert got["gen_sp|l1"] == "ACGT" and {got["gen_sp|c1_allele_0"], got["gen_sp|c1_allele_1"]} == {"ACGTA", "AGGAA"}
