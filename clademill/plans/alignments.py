@@ -530,7 +530,7 @@ def secondary_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def outparalog_components(spark: SparkSession, folder: str) -> DataFrame:
-    p = config.Outparalogs(kmers=(6, 9), min_overlap=MIN_OVERLAP, min_taxa=3)
+    p = config.Outparalogs(min_overlap=MIN_OVERLAP, min_taxa=3)
     return tools.outparalogs(outgroup_rows(spark, folder), src.pair_distances(spark, folder), p, 50)
 
 

@@ -1,7 +1,7 @@
 import random
 
 from clademill import config
-from clademill.plans import tools
+from clademill.plans import alignments, tools
 
 ROWS = "group_id string, seq_name string, taxon string, seq string, is_outgroup boolean"
 PAIRS = "group_id string, a string, b string, distance double"
@@ -49,3 +49,12 @@ def test_primary_and_secondary(spark):
     rows = spark.createDataFrame([("g", f"{x}|1", "A-C") for x in "abc"] + [("h", "z|1", "A")], "group_id string, seq_name string, seq string")
     parts = tools.secondary(rows, h, config.Secondary(max_size=2, max_evalue=1e-150, min_align_len=300)).collect()
     assert {(r.group_id, r.subgroup, r.seq_name) for r in parts} == {("g", "a|1", "a|1"), ("g", "a|1", "b|1"), ("g", "c|1", "c|1"), ("h", "h", "z|1")}
+
+
+def test_outparalog_query_sweeps_every_length(monkeypatch):
+    seen = []
+    monkeypatch.setattr(alignments, "outgroup_rows", lambda spark, folder: None)
+    monkeypatch.setattr(alignments.src, "pair_distances", lambda spark, folder: None)
+    monkeypatch.setattr(tools, "outparalogs", lambda rows, distances, p, min_positions: seen.append(p))
+    alignments.QUERIES["outparalog_components"](None, "")
+    assert [p.kmers for p in seen] == [(6, 9, 12, 15)]
