@@ -66,17 +66,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.components(hits).select(F.col("vertex").alias("seq_name"), F.col("component").alias("group_name"))
 
 
-def contig_paths(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, folder, "contigs").select("row_id", name_of(F.col("taxon"), F.col("contig")).alias("name"), "seq")
-    return rows, spans.shared_paths(rows, F.col("name"), F.col("row_id"), F.col("seq"))
+def named_contigs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "contigs").select("row_id", name_of(F.col("taxon"), F.col("contig")).alias("name"), "seq")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.span_pairs(contig_paths(spark, folder)[1])
+    return spans.span_pairs(spans.placed_paths(named_contigs(spark, folder), F.col("name"), F.col("row_id"), F.col("seq")))
 
 
 def p6_shared(spark: SparkSession, folder: str) -> DataFrame:
-    rows, paths = contig_paths(spark, folder)
+    rows = named_contigs(spark, folder)
+    paths = spans.shared_paths(rows, F.col("name"), F.col("row_id"), F.col("seq"))
     share = spans.shared_share(rows, paths, F.col("name"), F.col("row_id"), F.col("seq"))
     return share.select(F.col("row").alias("row_id"), F.col("name").alias("seq_name"), "n_letters", "n_shared", "longest")
 

@@ -1,4 +1,4 @@
-"""Long exact spans shared between records: k-mers as edges, repeated nonbranching paths compacted by joins."""
+"""Long exact spans shared between records: k-mers as edges, nonbranching paths compacted by joins, texts compared at their coordinates."""
 
 from __future__ import annotations
 
@@ -17,11 +17,15 @@ from clademill.session import cut
 #: Letters of a span; a k-mer of this length is an edge.
 SPAN = 120
 SEED = 32  # letters that fit one 64-bit number
+#: Letters that one step of the array code takes at once; about 150 bytes of memory each.
+BLOCK = 1 << 20
+#: Column name and type of the edges: run, place in it, k-mer, neighbouring letters, smallest and largest owner of the run.
+EDGE = {"id": T.LongType(), "i": T.IntegerType(), "edge": T.LongType(), "beside": T.ShortType(), "lo": T.LongType(), "hi": T.LongType()}
+NONE = 4  # neither of the four letters
 
-CODES = np.full(256, 4, np.uint8)
+CODES = np.full(256, NONE, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     CODES[_c] = CODES[_c | 32] = _i
-LETTERS = np.frombuffer(b"ACGT", np.uint8)
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -31,45 +35,63 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def seed_runs(code: np.ndarray, first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(code: np.ndarray) -> np.ndarray:
+    """The ``SEED`` letters from each place on, two bits each, as a number."""
+    out, width = (code & 3).astype(np.uint64), 1
+    while width < SEED:
+        out = out[:-width] << np.uint64(2 * width) | out[width:]
+        width *= 2
+    return out
+
+
+def seed_runs(code: np.ndarray, word: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seed, first window and number of windows of each run of k-mers with one smallest seed.
 
-    ``code`` holds letters 0 to 3 and 4 for anything else, of many records one after the other; ``first`` marks
-    the first letter of each. Equal k-mers have equal smallest seeds, so a k-mer shared by two records lies in a run
-    of one seed in both.
+    ``code`` holds letters 0 to 3 and ``NONE`` for anything else, which no k-mer contains. Equal k-mers have equal smallest
+    seeds, so a k-mer shared by two records lies in a run of one seed in both.
     """
-    n = len(code)
-    if n < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(n)
-    begin = np.maximum.accumulate(np.where(code == 4, at + 1, np.where(first, at, 0)))
-    seed = (code & 3).astype(np.uint64)
-    width = 1
-    while width < SEED:
-        seed = seed[:-width] << np.uint64(2 * width) | seed[width:]
-        width *= 2
-    low, width, wanted = scrambled(seed), 1, span - SEED + 1
+    low, width, wanted = scrambled(word), 1, span - SEED + 1
     while width * 2 <= wanted:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     rest = wanted - width
     low = np.minimum(low[: len(low) - rest], low[rest:])
-    windows = n - span + 1
-    good = begin[span - 1 :] <= at[:windows]
-    low = low[:windows]
-    start = np.flatnonzero(good & np.concatenate([[True], ~good[:-1] | (low[1:] != low[:-1]) | first[1:windows]]))
-    stop = np.flatnonzero(good & np.concatenate([~good[1:] | (low[1:] != low[:-1]) | first[1:windows], [True]]))
+    bad = np.concatenate([[0], np.cumsum(code == NONE)])
+    good = bad[span:] == bad[:-span]
+    new = np.concatenate([[True], low[1:] != low[:-1]])
+    start = np.flatnonzero(good & (new | ~np.concatenate([[False], good[:-1]])))
+    stop = np.flatnonzero(good & (np.concatenate([new[1:], [True]]) | ~np.concatenate([good[1:], [False]])))
     return low[start].view(np.int64), start, stop - start + 1
 
 
-def seeded_runs(df: DataFrame, name: Column, row: Column, seq: Column, span: int = SPAN) -> DataFrame:
-    """``seed, name, row, at, run``: stretches of each sequence whose k-mers share their smallest seed.
+def binaries(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Consecutive ``count`` numbers each as one binary value."""
+    ends = np.concatenate([[0], np.cumsum(count)]) * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
-    Gaps ``-`` are removed and case is ignored; ``at`` counts letters after that. Records without name or with
-    fewer than ``span`` letters in a row have none.
+
+def packed_runs(code: np.ndarray, word: np.ndarray, start: np.ndarray, windows: np.ndarray, span: int) -> pa.Array:
+    """Each run with the letter before and after it, where there is one: a head number and the letters, two bits each."""
+    left = (start > 0) & (code[start - 1] < NONE)
+    after = np.minimum(start + windows + span - 1, len(code) - 1)
+    right = (start + windows + span - 1 < len(code)) & (code[after] < NONE)
+    size = windows + span - 1 + left + right
+    n = -(-size // SEED) + 1
+    first = np.cumsum(n) - n
+    j = np.arange(n.sum()) - np.repeat(first, n)
+    at = np.repeat(start - left, n) + np.minimum((j - 1) * SEED, np.repeat(size - SEED, n))
+    values = word[np.maximum(at, 0)]
+    values[first] = size.astype(np.uint64) | left.astype(np.uint64) << np.uint64(62) | right.astype(np.uint64) << np.uint64(63)
+    return binaries(values, n)
+
+
+def seeded_runs(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """``seed, owner, doc, at, run, windows``: stretches of each text ``seq`` whose ``windows`` k-mers share their smallest seed, packed.
+
+    ``df`` as ``records`` gives it; ``at`` is the first letter of the first k-mer. Where a run ends does not matter
+    for what follows, so long texts are worked through in blocks.
     """
-    source = df.select(name.alias("name"), row.cast("long").alias("row"), F.translate(seq, "-", "").alias("seq")).filter(F.col("name").isNotNull() & (F.length("seq") >= span))
-    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("name", T.StringType()), T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("run", T.StringType())])
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("run", T.BinaryType()), T.StructField("windows", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,75 +99,146 @@ def seeded_runs(df: DataFrame, name: Column, row: Column, seq: Column, span: int
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             begin = (offsets - offsets[0])[:-1]
-            code = CODES[data]
-            first = np.zeros(len(code), bool)
-            first[begin] = True
-            seed, start, windows = seed_runs(code, first, span)
-            owner = np.searchsorted(begin, start, side="right") - 1
-            size = windows + span - 1
-            ends = np.concatenate([[0], np.cumsum(size)])
-            letters = LETTERS[code[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])] & 3]
-            runs = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())]).cast(pa.string())
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(seed), batch.column(0).take(take), batch.column(1).take(take), pa.array((start - begin[owner]).astype(np.int32)), runs], names=schema.names)
+            for lo in range(0, len(data) - span + 1, BLOCK):
+                low = max(lo - 1, 0)
+                code = CODES[data[low : lo + BLOCK + span]]
+                word = words(code)
+                seed, start, windows = seed_runs(code, word, span)
+                if low < lo:  # the first letter belongs to the block before
+                    windows = np.where(start == 0, windows - 1, windows)
+                    start = np.maximum(start, 1)
+                past = np.minimum(windows, lo + BLOCK - low - start)
+                keep = past > 0
+                seed, start, windows = seed[keep], start[keep], past[keep]
+                owner = np.searchsorted(begin, start + low, side="right") - 1
+                take = pa.array(owner)
+                at = (start + low - begin[owner]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(seed), batch.column(1).take(take), batch.column(0).take(take), pa.array(at), packed_runs(code, word, start, windows, span), pa.array(windows.astype(np.int32))], names=schema.names)
+
+    parted = df.filter(F.length("seq") >= span).select("doc", F.xxhash64("name").alias("owner"), F.concat("seq", F.lit("\n")).alias("seq"))
+    return parted.mapInArrow(run, schema)
 
-    return source.mapInArrow(run, schema)
 
+def records(df: DataFrame, name: Column, row: Column, seq: Column) -> DataFrame:
+    """``doc, name, row, seq``: the distinct records with a name and a text; gaps ``-`` are removed."""
+    rows = df.select(name.alias("name"), row.cast("long").alias("row"), F.translate(seq, "-", "").alias("seq")).filter("name IS NOT NULL AND seq IS NOT NULL")
+    return rows.select(F.xxhash64("name", "row", "seq").alias("doc"), "name", "row", "seq")
 
-def repeated_runs(runs: DataFrame) -> DataFrame:
-    """The runs whose seed lies in more than one name, with ``rid`` and ``owner`` as numbers for run text and name.
 
-    Only seeds and numbers are shuffled to find them; the texts move once, and what is left is written.
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes of packed runs, one after the other, with the offset and size of each and whether it has a letter before and after it."""
+    raw = column.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    values = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+    n = np.diff(offsets) // 8
+    first = np.cumsum(n) - n
+    head = values[first]
+    size = (head & np.uint64((1 << 62) - 1)).astype(np.int64)
+    begin = np.cumsum(size) - size
+    j = np.arange(len(values)) - np.repeat(first, n) - 1
+    at = (np.repeat(begin, n) + np.minimum(j * SEED, np.repeat(size - SEED, n)))[j >= 0]
+    code = np.zeros(int(size.sum()), np.uint8)
+    shifts = np.arange(2 * SEED - 2, -1, -2, dtype=np.uint64)
+    code[at[:, None] + np.arange(SEED)] = (values[j >= 0][:, None] >> shifts & np.uint64(3)).astype(np.uint8)
+    return code, begin, size, (head >> np.uint64(62) & np.uint64(1)).astype(np.int64), (head >> np.uint64(63)).astype(np.int64)
+
+
+def edges(distinct: DataFrame, wanted: tuple[str, ...], span: int) -> DataFrame:
+    """The ``wanted`` columns of ``EDGE``: one row per k-mer of the distinct runs (``id, run, lo, hi``).
+
+    ``beside`` has a bit for the letter before the k-mer, of five, and one for the letter after it; the fifth means none.
     """
-    marked = runs.select("*", F.xxhash64("name").alias("owner"))
-    seeds = marked.groupBy("seed").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi").select("seed")
-    return cut(marked.join(seeds, "seed", "left_semi").withColumn("rid", F.xxhash64("run")))
+    schema = T.StructType([T.StructField(x, EDGE[x]) for x in wanted])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = np.cumsum(4 * np.diff(np.frombuffer(batch.column(1).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(1).offset :][: len(batch) + 1]))
+            cuts = np.unique(np.concatenate([[0], np.searchsorted(letters, np.arange(BLOCK, letters[-1] if len(letters) else 0, BLOCK)), [len(batch)]]))
+            for lo, hi in zip(cuts, cuts[1:]):
+                code, begin, size, left, right = unpacked(batch.column(1).slice(lo, hi - lo))
+                windows = size - left - right - (span - 1)
+                owner = np.repeat(np.arange(len(size)), windows)
+                i = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+                at = (begin + left)[owner] + i
+                out = {"i": i.astype(np.int32)}
+                out |= {x: batch.column(k).slice(lo, hi - lo).to_numpy()[owner] for k, x in ((0, "id"), (2, "lo"), (3, "hi")) if x in wanted}
+                word, edge = words(code), np.full(len(at), span, np.uint64)
+                for step in range(-(-span // SEED)):
+                    edge = scrambled(edge + word[at + min(step * SEED, span - SEED)])
+                out["edge"] = edge.view(np.int64)
+                if "beside" in wanted:
+                    before = np.where((i > 0) | (left[owner] > 0), code[np.maximum(at - 1, 0)], NONE)
+                    after = np.where((i < windows[owner] - 1) | (right[owner] > 0), code[np.minimum(at + span, len(code) - 1)], NONE)
+                    out["beside"] = (1 << before.astype(np.int16)) | (32 << after.astype(np.int16))
+                yield pa.RecordBatch.from_arrays([pa.array(out[x], pa.int16() if x == "beside" else None) for x in wanted], names=list(wanted))
 
+    return distinct.select("id", "run", "lo", "hi").mapInArrow(run, schema)
 
-def shared_runs(held: DataFrame, span: int = SPAN) -> DataFrame:
-    """``seed, rid, skip, n``: the paths of ``n`` k-mers that lie in more than one record, by the distinct run that holds them.
 
-    Distinct runs stand for all their copies, so a group of copies costs one row. A run of a seed that no other run
-    has is a path as it is. Otherwise its k-mers are the edges of a graph: one leads on to the next without a
-    branch if each always has the other beside it. Such paths, found by joining each edge with its counts, become one row.
+def compacted(distinct: DataFrame, span: int = SPAN) -> DataFrame:
+    """``id, skip, n, begins, ends``: the nonbranching paths of ``n`` k-mers, from the ``skip``-th of each distinct run on.
+
+    An edge leads on to the next without a branch if the one is always followed by the same letter and the other always
+    has the same letter before it. Counting the letters beside each edge over all runs and joining them back to those edges
+    that branch gives the places where paths part; ``begins`` and ``ends`` tell whether a path does begin or end at the
+    ends of its run, or goes on in the neighbouring run of the record. Paths that are known to have one owner only are left out.
     """
-    distinct = held.groupBy("seed", "rid").agg(F.first("run").alias("run"), F.min("owner").alias("lo"), F.max("owner").alias("hi"))
-    several = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("runs"))
-    kept = cut(distinct.join(several, "seed"))
-    whole = kept.filter("runs = 1").select("seed", "rid", F.lit(0).alias("skip"), (F.length("run") - (span - 1)).alias("n"))
-    hashes = F.transform(F.sequence(F.lit(1), F.length("run") - (span - 1)), lambda i: F.xxhash64(F.substring("run", i, F.lit(span))))
-    edges = kept.filter("runs > 1").select("seed", "rid", "lo", "hi", hashes.alias("h"))
-    edges = edges.select("seed", "rid", "lo", "hi", "h", F.posexplode("h").alias("i", "edge"))
-    edges = edges.select("seed", "rid", "lo", "hi", "i", "edge", F.get("h", F.col("i") - 1).alias("before"), F.get("h", F.col("i") + 1).alias("after"))
-    counts = edges.groupBy("seed", "edge").agg(
-        F.min("lo").alias("elo"), F.max("hi").alias("ehi"), F.count(F.lit(1)).alias("n"),
-        F.count("before").alias("nb"), F.min("before").alias("b0"), F.max("before").alias("b1"),
-        F.count("after").alias("na"), F.min("after").alias("a0"), F.max("after").alias("a1"),
-    ).filter("elo <> ehi").select("seed", "edge", ((F.col("nb") == F.col("n")) & (F.col("b0") == F.col("b1"))).alias("one_in"), ((F.col("na") == F.col("n")) & (F.col("a0") == F.col("a1"))).alias("one_out"))
-    own = W.partitionBy("seed", "rid").orderBy("i")
-    met = edges.select("seed", "rid", "i", "edge").join(counts, ["seed", "edge"])
-    linked = F.col("one_in") & (F.lag("i").over(own) == F.col("i") - 1) & F.lag("one_out").over(own)
-    steps = met.withColumn("head", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1))
-    islands = steps.withColumn("k", F.sum("head").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    paths = islands.groupBy("seed", "rid", "k").agg(F.min("i").alias("skip"), F.count(F.lit(1)).alias("n"))
-    return whole.unionByName(paths.select("seed", "rid", "skip", F.col("n").cast("int").alias("n")))
+    single = lambda bits: bits.isin(1, 2, 4, 8)
+    seen = edges(distinct, ("edge", "beside", "lo", "hi"), span).groupBy("edge").agg(F.bit_or("beside").cast("int").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    judged = seen.select("edge", single(F.col("m").bitwiseAND(31)).alias("one_in"), single(F.shiftright("m", 5).bitwiseAND(31)).alias("one_out"), (F.col("lo") == F.col("hi")).alias("own"))
+    parting = judged.filter("NOT (one_in AND one_out)")
+    spots = edges(distinct, ("edge", "id", "i"), span).join(parting.hint("merge"), "edge")
+    sides = F.array(
+        F.struct(F.col("i").alias("c"), (~F.col("one_in")).alias("parts"), F.col("own").alias("dead"), F.lit(False).alias("dead_before")),
+        F.struct((F.col("i") + 1).alias("c"), (~F.col("one_out")).alias("parts"), F.lit(False).alias("dead"), F.col("own").alias("dead_before")),
+    )
+    parts = spots.select("id", F.explode(sides).alias("s")).select("id", "s.*").filter("parts")
+    inner = F.array(F.lit(0), F.col("windows"))
+    bounds = distinct.select("id", F.explode(inner).alias("c"), F.lit(False).alias("parts"), F.lit(False).alias("dead"), F.lit(False).alias("dead_before"))
+    told = parts.unionByName(bounds).repartition("id").groupBy("id", "c").agg(*[F.bool_or(x).alias(x) for x in ("parts", "dead", "dead_before")])
+    w = W.partitionBy("id").orderBy("c")
+    paths = told.select("id", F.col("c").alias("skip"), "dead", (F.lead("c").over(w) - F.col("c")).alias("n"), F.col("parts").alias("begins"), F.lead("parts").over(w).alias("ends"), F.lead("dead_before").over(w).alias("dead_end"))
+    return paths.filter("n IS NOT NULL AND NOT dead AND NOT dead_end").drop("dead", "dead_end")
 
 
-def shared_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: int = SPAN) -> DataFrame:
-    """``path, name, row, at``: every place of a path of k-mers that lie in more than one name.
+def placed_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: int = SPAN) -> DataFrame:
+    """``doc, key, path, name, row, at``: the nonbranching paths of k-mers at each of their places.
 
-    The path is the text itself, taken at its coordinates, so equal paths are equal spans.
+    Only runs whose seed lies in more than one name take part, and equal runs stand for all their copies, so a group of copies costs
+    one run. Paths that go on in the next run of a record are joined. The path is the text itself, taken from
+    the source at its coordinates, and ``key`` its digest, so equal keys are equal spans, whatever the numbers of the k-mers said.
+    All joins are on sorted keys: no side is bounded, and a run that a third of the records have is split by adaptive skew handling.
     """
-    held = repeated_runs(seeded_runs(df, name, row, seq, span))
-    placed = held.join(shared_runs(held, span), ["seed", "rid"])
-    return placed.select(F.substring("run", F.col("skip") + 1, F.col("n") + (span - 1)).alias("path"), "name", "row", (F.col("at") + F.col("skip")).alias("at"))
+    source = records(df, name, row, seq)
+    runs = cut(seeded_runs(source, span))
+    seeds = runs.groupBy("seed").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi").select("seed")
+    held = cut(runs.join(seeds.hint("merge"), "seed", "left_semi").select("owner", "doc", "at", "run", "windows"))
+    distinct = cut(held.groupBy("run").agg(F.first("windows").alias("windows"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).withColumn("id", F.monotonically_increasing_id()))
+    known = distinct.select("run", "id").join(compacted(distinct, span).hint("merge"), "id")
+    there = held.select("run", "doc", "at").distinct().join(known.drop("id").hint("merge"), "run")
+    steps = there.select("doc", (F.col("at") + F.col("skip")).alias("at"), "n", "begins", "ends")
+    w = W.partitionBy("doc").orderBy("at")
+    goes_on = ~F.col("begins") & ~F.lag("ends").over(w) & (F.lag("at").over(w) + F.lag("n").over(w) == F.col("at"))
+    headed = steps.withColumn("head", F.when(goes_on, 0).otherwise(1))
+    numbered = headed.withColumn("k", F.sum("head").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = numbered.groupBy("doc", "k").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
+    read = joined.join(source.hint("merge"), "doc")
+    path = F.substring("seq", F.col("at") + 1, F.col("n") + (span - 1))
+    return read.select("doc", F.upper(path).alias("path"), "name", "row", "at").withColumn("key", F.unhex(F.md5("path")))
+
+
+def shared_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: int = SPAN) -> DataFrame:
+    """``doc, key, path, name, row, at``: every place of a path of k-mers that lies in more than one name."""
+    placed = cut(placed_paths(df, name, row, seq, span))
+    several = placed.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("key")
+    return placed.join(several.hint("merge"), "key", "left_semi")
 
 
 def span_pairs(paths: DataFrame) -> DataFrame:
     """Distinct ``name_a < name_b`` that have a path in common."""
-    owners = paths.select("path", "name").distinct()
+    owners = cut(paths.select("key", "name").distinct())
     left, right = owners.withColumnRenamed("name", "name_a"), owners.withColumnRenamed("name", "name_b")
-    return left.join(right, "path").filter("name_a < name_b").select("name_a", "name_b").distinct()
+    return left.join(right.hint("merge"), "key").filter("name_a < name_b").select("name_a", "name_b").distinct()
 
 
 def shared_share(df: DataFrame, paths: DataFrame, name: Column, row: Column, seq: Column) -> DataFrame:
@@ -153,8 +246,11 @@ def shared_share(df: DataFrame, paths: DataFrame, name: Column, row: Column, seq
 
     ``n_letters`` are the letters without gaps; ``longest`` is the longest stretch covered by shared spans.
     """
-    periods = merged_periods(paths, F.col("row"), F.col("at"), F.col("at") + F.length("path"))
+    letters = F.translate(seq, "-", "")
+    doc = lambda r, n, s: F.xxhash64(n, r, s)
+    periods = merged_periods(paths, F.col("doc"), F.col("at"), F.col("at") + F.length("path"))
     covered = periods.groupBy("key").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("n_shared"), F.max(F.col("period_end") - F.col("period_start")).alias("longest"))
-    records = df.select(row.cast("long").alias("row"), name.alias("name"), F.coalesce(F.length(F.translate(seq, "-", "")), F.lit(0)).cast("long").alias("n_letters"))
+    records = df.select(row.cast("long").alias("row"), name.alias("name"), letters.alias("s"))
+    keyed = records.select("row", "name", F.coalesce(F.length("s"), F.lit(0)).cast("long").alias("n_letters"), F.when(F.col("name").isNotNull(), doc(F.col("row"), F.col("name"), F.col("s"))).alias("key"))
     zero = F.lit(0).cast("long")
-    return records.join(covered, records["row"] == covered["key"], "left").select("row", "name", "n_letters", F.coalesce("n_shared", zero).alias("n_shared"), F.coalesce("longest", zero).alias("longest"))
+    return keyed.join(covered.hint("merge"), "key", "left").select("row", "name", "n_letters", F.coalesce("n_shared", zero).alias("n_shared"), F.coalesce("longest", zero).alias("longest"))

@@ -146,7 +146,9 @@ def brute_spans(rows, k):
     return {(a, b) for w in shared for a in words[w] for b in words[w] if a < b}, {r: len(c) for r, c in cover.items()}
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1 << 20, 97])
+def test_spans_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(spans, "BLOCK", block)
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
     parts = [word(n) for n in (40, 60, 90, 130)]
@@ -157,10 +159,13 @@ def test_spans_against_brute_force(spark):
             s = s[:30].lower() + "-" + s[30:60] + rnd.choice("N-") + s[60:]
         rows.append((rnd.choice([None, f"n{i}", f"n{i // 2}"]), i, s))
     rows += [("t1", 100, "ACAC" * 40), ("t2", 101, "ACAC" * 30 + "G" * 50), ("t3", 102, "G" * 45), ("t4", 103, None), ("t5", 104, ""), rows[0][:1] + (105, rows[0][2])]
-    df = spark.createDataFrame(rows, "name string, row long, seq string").withColumn("path", F.lit("clash"))
+    own = word(150)
+    rows += [("t6", None, rows[1][2]), ("t7", 106, word(500) + "N" + own), ("t8", 107, word(10) + own.lower() + word(300))]
+    df = spark.createDataFrame(rows, "name string, row long, seq string").withColumns({x: F.lit("clash") for x in ("path", "doc", "key", "seed", "at")})
     paths = spans.shared_paths(df, F.col("name"), F.col("row"), F.col("seq"), 40)
     pairs, cover = brute_spans(rows, 40)
     assert pairs and {tuple(r) for r in spans.span_pairs(paths).collect()} == pairs
+    assert {(r.name, r.at, r.path) for r in paths.collect() if r.name in ("t7", "t8")} == {("t7", 501, own), ("t8", 10, own)}
     share = {r.row: r.n_shared for r in spans.shared_share(df, paths, F.col("name"), F.col("row"), F.col("seq")).collect()}
     assert {r: n for r, n in share.items() if n} == cover and len(share) == len(rows)
     assert spans.span_pairs(spans.shared_paths(df.limit(0), F.col("name"), F.col("row"), F.col("seq"), 40)).count() == 0
