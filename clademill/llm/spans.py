@@ -19,8 +19,8 @@ SPAN = 120
 SEED = 32  # letters that fit one 64-bit number
 #: Letters that one step of the array code takes at once; about 150 bytes of memory each.
 BLOCK = 1 << 20
-#: Column name and type of the edges: run, place in it, k-mer, neighbouring letters, smallest and largest owner of the run.
-EDGE = {"id": T.LongType(), "i": T.IntegerType(), "edge": T.LongType(), "beside": T.ShortType(), "lo": T.LongType(), "hi": T.LongType()}
+#: Column name and type of the edges: run, place in it, k-mer, neighbouring letters.
+EDGE = {"id": T.LongType(), "i": T.IntegerType(), "edge": T.LongType(), "beside": T.ShortType()}
 NONE = 4  # neither of the four letters
 
 CODES = np.full(256, NONE, np.uint8)
@@ -144,7 +144,7 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def edges(distinct: DataFrame, wanted: tuple[str, ...], span: int) -> DataFrame:
-    """The ``wanted`` columns of ``EDGE``: one row per k-mer of the distinct runs (``id, run, lo, hi``).
+    """The ``wanted`` columns of ``EDGE``: one row per k-mer of the distinct runs (``id, run``).
 
     ``beside`` has a bit for the letter before the k-mer, of five, and one for the letter after it; the fifth means none.
     """
@@ -161,7 +161,8 @@ def edges(distinct: DataFrame, wanted: tuple[str, ...], span: int) -> DataFrame:
                 i = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
                 at = (begin + left)[owner] + i
                 out = {"i": i.astype(np.int32)}
-                out |= {x: batch.column(k).slice(lo, hi - lo).to_numpy()[owner] for k, x in ((0, "id"), (2, "lo"), (3, "hi")) if x in wanted}
+                if "id" in wanted:
+                    out["id"] = batch.column(0).slice(lo, hi - lo).to_numpy()[owner]
                 word, edge = words(code), np.full(len(at), span, np.uint64)
                 for step in range(-(-span // SEED)):
                     edge = scrambled(edge + word[at + min(step * SEED, span - SEED)])
@@ -172,7 +173,7 @@ def edges(distinct: DataFrame, wanted: tuple[str, ...], span: int) -> DataFrame:
                     out["beside"] = (1 << before.astype(np.int16)) | (32 << after.astype(np.int16))
                 yield pa.RecordBatch.from_arrays([pa.array(out[x], pa.int16() if x == "beside" else None) for x in wanted], names=list(wanted))
 
-    return distinct.select("id", "run", "lo", "hi").mapInArrow(run, schema)
+    return distinct.select("id", "run").mapInArrow(run, schema)
 
 
 def compacted(distinct: DataFrame, span: int = SPAN) -> DataFrame:
@@ -181,24 +182,20 @@ def compacted(distinct: DataFrame, span: int = SPAN) -> DataFrame:
     An edge leads on to the next without a branch if the one is always followed by the same letter and the other always
     has the same letter before it. Counting the letters beside each edge over all runs and joining them back to those edges
     that branch gives the places where paths part; ``begins`` and ``ends`` tell whether a path does begin or end at the
-    ends of its run, or goes on in the neighbouring run of the record. Paths that are known to have one owner only are left out.
+    ends of its run, or goes on in the neighbouring run of the record.
     """
     single = lambda bits: bits.isin(1, 2, 4, 8)
-    seen = edges(distinct, ("edge", "beside", "lo", "hi"), span).groupBy("edge").agg(F.bit_or("beside").cast("int").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    judged = seen.select("edge", single(F.col("m").bitwiseAND(31)).alias("one_in"), single(F.shiftright("m", 5).bitwiseAND(31)).alias("one_out"), (F.col("lo") == F.col("hi")).alias("own"))
+    seen = edges(distinct, ("edge", "beside"), span).groupBy("edge").agg(F.bit_or("beside").cast("int").alias("m"))
+    judged = seen.select("edge", single(F.col("m").bitwiseAND(31)).alias("one_in"), single(F.shiftright("m", 5).bitwiseAND(31)).alias("one_out"))
     parting = judged.filter("NOT (one_in AND one_out)")
     spots = edges(distinct, ("edge", "id", "i"), span).join(parting.hint("merge"), "edge")
-    sides = F.array(
-        F.struct(F.col("i").alias("c"), (~F.col("one_in")).alias("parts"), F.col("own").alias("dead"), F.lit(False).alias("dead_before")),
-        F.struct((F.col("i") + 1).alias("c"), (~F.col("one_out")).alias("parts"), F.lit(False).alias("dead"), F.col("own").alias("dead_before")),
-    )
+    sides = F.array(F.struct(F.col("i").alias("c"), (~F.col("one_in")).alias("parts")), F.struct((F.col("i") + 1).alias("c"), (~F.col("one_out")).alias("parts")))
     parts = spots.select("id", F.explode(sides).alias("s")).select("id", "s.*").filter("parts")
-    inner = F.array(F.lit(0), F.col("windows"))
-    bounds = distinct.select("id", F.explode(inner).alias("c"), F.lit(False).alias("parts"), F.lit(False).alias("dead"), F.lit(False).alias("dead_before"))
-    told = parts.unionByName(bounds).repartition("id").groupBy("id", "c").agg(*[F.bool_or(x).alias(x) for x in ("parts", "dead", "dead_before")])
+    bounds = distinct.select("id", F.explode(F.array(F.lit(0), F.col("windows"))).alias("c"), F.lit(False).alias("parts"))
+    told = parts.unionByName(bounds).repartition("id").groupBy("id", "c").agg(F.bool_or("parts").alias("parts"))
     w = W.partitionBy("id").orderBy("c")
-    paths = told.select("id", F.col("c").alias("skip"), "dead", (F.lead("c").over(w) - F.col("c")).alias("n"), F.col("parts").alias("begins"), F.lead("parts").over(w).alias("ends"), F.lead("dead_before").over(w).alias("dead_end"))
-    return paths.filter("n IS NOT NULL AND NOT dead AND NOT dead_end").drop("dead", "dead_end")
+    paths = told.select("id", F.col("c").alias("skip"), (F.lead("c").over(w) - F.col("c")).alias("n"), F.col("parts").alias("begins"), F.lead("parts").over(w).alias("ends"))
+    return paths.filter("n IS NOT NULL")
 
 
 def placed_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: int = SPAN) -> DataFrame:
@@ -212,8 +209,8 @@ def placed_paths(df: DataFrame, name: Column, row: Column, seq: Column, span: in
     source = records(df, name, row, seq)
     runs = cut(seeded_runs(source, span))
     seeds = runs.groupBy("seed").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi").select("seed")
-    held = cut(runs.join(seeds.hint("merge"), "seed", "left_semi").select("owner", "doc", "at", "run", "windows"))
-    distinct = cut(held.groupBy("run").agg(F.first("windows").alias("windows"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).withColumn("id", F.monotonically_increasing_id()))
+    held = cut(runs.join(seeds.hint("merge"), "seed", "left_semi").select("doc", "at", "run", "windows"))
+    distinct = cut(held.groupBy("run").agg(F.first("windows").alias("windows")).withColumn("id", F.monotonically_increasing_id()))
     known = distinct.select("run", "id").join(compacted(distinct, span).hint("merge"), "id")
     there = held.select("run", "doc", "at").distinct().join(known.drop("id").hint("merge"), "run")
     steps = there.select("doc", (F.col("at") + F.col("skip")).alias("at"), "n", "begins", "ends")
