@@ -107,7 +107,11 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], folder: str | None =
 
 
 def decode(df: DataFrame, ids: str, keep: list[str], folder: str | None = None, ranks: str = RANKS) -> DataFrame:
-    """``keep`` columns and ``text``, the text of the token ``ids``; broken UTF-8 becomes U+FFFD, null stays null."""
+    """``keep`` columns and ``text``, the text of the token ``ids``; broken UTF-8 becomes U+FFFD, null stays null.
+
+    The bytes of a batch are gathered at once; only rows with broken UTF-8, which ids cut anywhere may give, go through the
+    streaming machine one by one.
+    """
     path = os.path.join(folder or TOKENIZERS, ranks)
     schema = T.StructType([df.schema[x] for x in keep] + [T.StructField("text", T.StringType())])
     kept = list(keep)
@@ -115,7 +119,15 @@ def decode(df: DataFrame, ids: str, keep: list[str], folder: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Decoder(load_ranks(path))
         for batch in batches:
-            texts = [None if x is None else machine.decode(x) for x in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
+            lists = batch.column(len(kept))
+            data, upto = machine.raw(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = upto[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])]
+            valid = np.packbits(pc.is_valid(lists).to_numpy(zero_copy_only=False), bitorder="little")
+            found = pa.Array.from_buffers(pa.large_binary(), len(lists), [pa.py_buffer(valid.tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+            try:
+                texts = found.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:
+                texts = pa.array([None if x is None else "".join(machine.stream([x])) for x in lists.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], texts], names=[*kept, "text"])
 
     return df.select(*[F.col(x) for x in kept], F.col(ids).alias("__ids")).mapInArrow(run, schema)

@@ -85,6 +85,10 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.decode(p8_ids(spark, folder), "ids", ["doc_id"])
+
+
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     counted = encode.count_tokens(table(spark, folder, "documents"), "text", ["doc_id"])
     return packing.pack(counted, "doc_id", "n_tokens")
@@ -94,7 +98,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_fused, p3_found, p6_found, p6_shared, p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_fused, p3_found, p6_found, p6_shared, p8_ids, p8_decoded, p9_containers, p10_pieces)}
 
 _NAME = sql_name("taxon || '|' || contig")
 _STRETCHES = f"""
@@ -118,5 +122,6 @@ SQL = {
         il AS (SELECT row_id, max(p) + 120 - min(p) n FROM (SELECT *, sum(h) OVER (PARTITION BY row_id ORDER BY p) g FROM sp) GROUP BY row_id, g),
         t AS (SELECT row_id, sum(n) n_shared, max(n) longest FROM il GROUP BY 1)
         SELECT c.row_id, nm seq_name, coalesce(length(s), 0) n_letters, coalesce(n_shared, 0)::BIGINT n_shared, coalesce(longest, 0)::BIGINT longest FROM c LEFT JOIN t ON c.row_id = t.row_id""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') text FROM documents",
     "p6_found": f"WITH {_STRETCHES} SELECT DISTINCT x.nm name_a, y.nm name_b FROM w x JOIN w y ON x.k = y.k AND x.nm < y.nm",
 }

@@ -10,8 +10,9 @@ import numpy as np
 
 # Fixed value: the pattern that splits a text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: States that a machine keeps, about a kilobyte each with their moves; beyond that it starts anew.
 MAX_STATES = 200_000
-OFTEN = 16
+NEVER = 1 << 60
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,23 +27,31 @@ class Transducer:
     The encoding of a prefix is that of a shorter prefix and one more token, and of all tokens that end a prefix
     exactly one goes with the encoding before it (their two byte strings, merged together, give the two tokens
     back). So only prefixes that end within the longest unfinished token matter for what follows. A state
-    holds their encodings without what all of them share; what they share is emitted, a bounded number of bytes
-    after it was read. States and moves are made when a text first needs them and kept.
+    holds those bytes, the encodings of these prefixes without what all of them share, and of the tokens that they share what
+    the last one forbids to follow on those bytes. What is shared is emitted, a bounded number of bytes after it
+    was read. States and moves are made when a text first needs them.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:n] for t in ranks for n in range(len(t))}
+        self.least: dict[bytes, int] = {}  # of the tokens that go on from these bytes the smallest rank
+        for t, i in ranks.items():
+            for n in range(1, len(t)):
+                if i < self.least.get(t[:n], NEVER):
+                    self.least[t[:n]] = i
         self.split: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
+        self.shapes: list[tuple[tuple[bytes, int], ...]] = [()]
+        self.shape_number = {(): 0}
+        self.shape_of: dict[int, int] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drops all states but the first."""
-        first = (b"", ((),))
+        first = (b"", -1, ((),))
         self.keys, self.number, self.moves = [first], {first: 0}, {}
-        self.pairs, self.missed = {}, {}
+        self.pairs, self.narrow = {}, {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte and for what merges never make."""
@@ -50,7 +59,7 @@ class Transducer:
             text = self.token[token]
             parts = [text[i : i + 1] for i in range(len(text))]
             while len(parts) > 2:
-                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], NEVER))
                 if parts[best] + parts[best + 1] not in self.ranks:
                     break
                 parts[best : best + 2] = [parts[best] + parts[best + 1]]
@@ -61,7 +70,7 @@ class Transducer:
         """The parts that touch the left (0) or right (1) end of ``token`` while it is merged, each with the merge that ends it."""
         known = self.edges[side].get(token)
         if known is None:
-            known, part, until = [], token, 1 << 60
+            known, part, until = [], token, NEVER
             while True:
                 known.append((self.token[part], until))
                 both = self.halves(part)
@@ -71,113 +80,126 @@ class Transducer:
             self.edges[side][token] = known
         return known
 
-    def follows(self, before: int, token: int) -> bool:
-        """True if ``token`` can stand after ``before`` (-1: at the start).
-
-        It can't if a part at the right end of ``before`` and one at the left end of ``token`` merge with each
+    def shape(self, parts: tuple[tuple[bytes, int], ...]) -> int:
+        """The number of a set of parts that may merge with what follows."""
+        number = self.shape_number.get(parts)
+        if number is None:
+            number = self.shape_number[parts] = len(self.shapes)
+            self.shapes.append(parts)
+        return number
+
+    def ending(self, token: int) -> int:
+        """The shape of the parts at the right end of ``token`` that some merge continues before they are used up."""
+        number = self.shape_of.get(token)
+        if number is None:
+            number = self.shape_of[token] = self.shape(tuple((t, until) for t, until in self.edge(token, 1) if self.least.get(t, NEVER) < until))
+        return number
+
+    def narrowed(self, shape: int, window: bytes) -> int:
+        """``shape`` without the parts that no merge continues if ``window`` follows; many tokens then are one."""
+        if shape <= 0 or not window:
+            return shape
+        number = self.narrow.get((shape, window))
+        if number is None:
+            get, least = self.ranks.get, self.least
+            kept = ((t, until) for t, until in self.shapes[shape] if least.get(t + window, NEVER) < until or any(get(t + window[:n], NEVER) < until for n in range(1, len(window) + 1)))
+            number = self.narrow[shape, window] = self.shape(tuple(kept))
+        return number
+
+    def follows(self, shape: int, token: int) -> bool:
+        """True if ``token`` can stand after a token of this ``shape`` (-1: at the start).
+
+        It can't if a part at the right end of the one and a part at the left end of the other merge with each
         other before either is used up; of equal merges the left one is done first.
         """
-        known = self.pairs.get((before, token))
+        known = self.pairs.get((shape, token))
         if known is None:
             known = len(self.token[token]) == 1 or self.halves(token) is not None
-            if before >= 0 and known:
+            if known and shape > 0:
                 get = self.ranks.get
-                for left, left_until in self.edge(before, 1):
+                for left, left_until in self.shapes[shape]:
                     for right, right_until in self.edge(token, 0):
                         made = get(left + right)
                         if made is not None and made < left_until and made <= right_until:
                             known = False
-            self.pairs[before, token] = known
+            self.pairs[shape, token] = known
         return known
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after one more byte, and the tokens that are now certain."""
-        window, chains = self.keys[state]
+        """The state after one more byte, and the tokens that are now certain.
+
+        ``chains`` has the tokens after the certain ones up to each place in the window, None where no token can go on.
+        """
+        window, before, chains = self.keys[state]
         window += bytes((byte,))
-        for length in range(len(window), 0, -1):
-            token = self.ranks.get(window[-length:])
-            if token is not None:
-                chain = chains[len(window) - length]
-                if self.follows(chain[-1] if chain else -1, token):
+        ranks, least = self.ranks, self.least
+        for j, chain in enumerate(chains):
+            if chain is not None:
+                token = ranks.get(window[j:])
+                if token is not None and self.follows(self.ending(chain[-1]) if chain else before, token):
                     break
-        chains = (*chains, (*chain, token))
-        keep = next(n for n in range(len(window), -1, -1) if window[len(window) - n :] in self.prefixes)
-        chains = chains[len(chains) - keep - 1 :]
+        live, first = [], len(window)
+        for j in range(len(window)):
+            if chains[j] is not None and window[j:] in least:
+                first = min(first, j)
+                live.append(chains[j])
+            elif first < len(window):
+                live.append(None)
+        live.append((*chain, token))
+        low, high = min(x for x in live if x is not None), max(x for x in live if x is not None)
         shared = 0
-        shortest = min(map(len, chains))
-        while shared < shortest and all(c[shared] == chains[0][shared] for c in chains):
+        while shared < min(len(low), len(high)) and low[shared] == high[shared]:
             shared += 1
-        out = chains[0][: max(0, shared - 1)]  # the last shared token decides what may follow
-        key = (window[len(window) - keep :], tuple(c[len(out) :] for c in chains))
-        if key not in self.number:
-            self.number[key] = len(self.keys)
+        out = low[:shared]
+        if shared:
+            before = self.ending(out[-1])
+            live = [None if x is None else x[shared:] for x in live]
+        key = (window[first:], self.narrowed(before, window[first:]), tuple(live))
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.keys)
             self.keys.append(key)
-        return self.number[key], out
-
-    def simulate(self, text: bytes) -> list[int]:
-        """The same encoding without states: the last token of each prefix, one after the other."""
-        ranks, prefixes, pairs = self.ranks, self.prefixes, self.pairs
-        last, back, depth = [-1] * (len(text) + 1), [0] * (len(text) + 1), 0
-        for end in range(1, len(text) + 1):
-            for start in range(end - depth - 1, end):
-                token = ranks.get(text[start:end])
-                if token is not None:
-                    ok = pairs.get((last[start], token))
-                    if ok is None:
-                        ok = self.follows(last[start], token)
-                    if ok:
-                        break
-            last[end], back[end] = token, start
-            depth += 1
-            while text[end - depth : end] not in prefixes:
-                depth -= 1
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end = back[end]
-        return out[::-1]
+        return number, out
 
     def encode(self, text: bytes) -> list[int]:
-        """The ids of one piece of text, in time linear in its length.
-
-        A move is made when it was needed ``OFTEN`` times; until then a piece that needs it is simulated, so rare
-        pieces leave no states behind.
-        """
-        if text in self.ranks and self.follows(-1, self.ranks[text]):
-            return [self.ranks[text]]
-        if len(self.keys) > MAX_STATES or len(self.missed) > 8 * MAX_STATES:
+        """The ids of one piece of text, in time linear in its length; all pieces take this way."""
+        if len(self.keys) > MAX_STATES:
             self.forget()
         state, out, moves = 0, [], self.moves
         for byte in text:
             at = state << 8 | byte
             step = moves.get(at)
             if step is None:
-                self.missed[at] = wanted = self.missed.get(at, 0) + 1
-                if wanted < OFTEN:
-                    return self.simulate(text)
                 step = moves[at] = self.move(state, byte)
             state, ready = step
             if ready:
-                out.extend(ready)
-        out.extend(self.keys[state][1][-1])
+                out += ready
+        out += self.keys[state][2][-1]
         return out
 
 
 class Decoder:
-    """Ids to text, piece by piece: an incremental UTF-8 machine keeps unfinished characters between calls."""
+    """Ids to text: token bytes are gathered for many rows at once; an incremental UTF-8 machine keeps unfinished characters between calls."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.token = {i: t for t, i in ranks.items()}
+        self.lengths = token_lengths(ranks)
+        order = sorted(ranks.items(), key=lambda x: x[1])
+        self.table = np.frombuffer(b"".join(t for t, _ in order), np.uint8)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+
+    def raw(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids, one after the other, and where each begins, with the end of the last."""
+        n = self.lengths[ids]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return self.table[np.repeat(self.begin[ids] - upto[:-1], n) + np.arange(upto[-1])], upto
 
     def stream(self, pieces: Iterable[Iterable[int]]) -> Iterator[str]:
+        """The text of consecutive lists of ids, as far as it is certain after each; broken UTF-8 becomes U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for ids in pieces:
-            yield machine.decode(b"".join(self.token[i] for i in ids))
+            yield machine.decode(self.raw(np.asarray(list(ids), np.int64))[0].tobytes())
         yield machine.decode(b"", True)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream([ids]))
-
 
 def token_lengths(ranks: dict[bytes, int]) -> np.ndarray:
     """Bytes of each token, by id."""
