@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clademill.functions.arrays import bound, running_totals
+
 # The ambiguity code of each set of bases, bases in alphabetical order.
 IUPAC = {
     "A": "A", "C": "C", "G": "G", "T": "T", "AG": "R", "CT": "Y", "CG": "S", "AT": "W", "GT": "K", "AC": "M",
@@ -31,11 +33,6 @@ def n_bases(seq: Column) -> Column:
     return F.length(without(seq, "Nn-"))
 
 
-def occupancy(seq: Column) -> Column:
-    """1 for each column that is no gap, 0 for a gap; an unknown counts as occupied."""
-    return F.transform(F.split(seq, ""), lambda c: (c != "-").cast("int"))
-
-
 def kmers(seq: Column, k: int) -> Column:
     """Array of ``(pos, kmer)``; the last k-mer of a text is left out, as positions run up to length minus k."""
     size = F.length(seq) - k
@@ -74,9 +71,8 @@ def runs(seq: Column, inside: str, outside: str) -> Column:
     Computed within the row: the text is cut into runs, whose lengths add up to positions.
     """
     parts = F.regexp_extract_all(seq, F.lit(f"({inside}+|{outside}+)"), F.lit(1))
-    empty = F.array().cast("array<struct<start:int,end:int,keep:boolean>>")
-    end = lambda done: F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
-    placed = F.aggregate(parts, empty, lambda done, p: F.concat(done, F.array(F.struct(end(done).alias("start"), (end(done) + F.length(p)).alias("end"), p.rlike(f"^{inside}").alias("keep")))))
+    place = lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), p.rlike(f"^{inside}").alias("keep"))
+    placed = bound(parts, lambda found: F.zip_with(found, running_totals(F.transform(found, F.length)), place))
     return F.transform(F.filter(placed, lambda r: r["keep"]), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clademill.functions import dna
+from clademill.functions.arrays import appended, blocks, collected
 from clademill.operators.intervals import overlap_semi
 
 
@@ -150,15 +151,16 @@ def clean_small_fragments(rows: DataFrame, length: int = 50, flank: int = 15, ti
     """
     seq = dna.mask_ambiguous(F.col("seq"))
     placed = rows.withColumn("seq", seq).withColumn("__runs", dna.runs(F.col("seq"), "[^-]", "-"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    span = "struct<start:int,end:int>"
+    start = F.struct(*blocks(span), F.lit(None).cast(span).alias("last"))
 
     def join_run(done, r):
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (r["end"] - last["start"] <= length)
-        grown = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), r["end"].alias("end"))))
-        return F.when(fits, grown).otherwise(F.concat(done, F.array(F.struct(r["start"].alias("start"), r["end"].alias("end")))))
+        last = done["last"]
+        fits = last.isNotNull() & (r["end"] - last["start"] <= length)
+        grown = F.struct(F.when(fits, last["start"]).otherwise(r["start"]).alias("start"), r["end"].alias("end"))
+        return F.struct(*appended(done, last, ~fits & last.isNotNull()), grown.alias("last"))
 
-    placed = placed.withColumn("__parts", F.aggregate("__runs", empty, join_run))
+    placed = placed.withColumn("__parts", F.aggregate("__runs", start, join_run, lambda done: F.concat(collected(done), F.array_compact(F.array(done["last"])))))
     width = F.length("seq")
 
     def blank(r):

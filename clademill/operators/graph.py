@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.session import cut, is_empty
+from clademill.session import cut, written
 
 
 def reciprocal(hits: DataFrame, min_length: int) -> DataFrame:
@@ -34,21 +34,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", group: st
     keys = [group] if group else []
     ends = edges.select(*keys, F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     current = cut(ends.select(*keys, F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    if is_empty(current):
-        return current.select(*keys, F.col("u").alias("vertex"), F.col("v").alias("component"))
+    moved = F.count_if("moved")
     while True:
         both = current.unionByName(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, [*keys, "u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        turned = both.join(least, [*keys, "u"]).filter("v > u").groupBy(*keys, F.col("v").alias("u"), F.col("m").alias("v")).agg(F.bool_or(F.col("m") != F.col("u")).alias("moved"))
+        large, first = written(turned, moved=moved)
         low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*keys, "u"]).select(*keys, F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = cut(small)
-        if is_empty(small.exceptAll(current).limit(1)) and small.count() == current.count():
+        near = large.drop("moved").join(low, [*keys, "u"]).select(*keys, F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("v") != F.col("m")).alias("moved"))
+        small, then = written(near.filter("u <> v").groupBy(*keys, "u", "v").agg(F.bool_or("moved").alias("moved")), moved=moved)
+        current = small.drop("moved")
+        if not first["moved"] and not then["moved"]:
             break
-        current = small
-    roots = small.select(*keys, F.col("v").alias("vertex")).distinct().withColumn("component", F.col("vertex"))
-    return small.select(*keys, F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
+    roots = current.select(*keys, F.col("v").alias("vertex")).distinct().withColumn("component", F.col("vertex"))
+    return current.select(*keys, F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
 
 
 def keep_components(members: DataFrame, taxon: str, more_than: int) -> DataFrame:

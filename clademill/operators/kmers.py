@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clademill.functions import dna
 from clademill.functions.names import without_allele
+from clademill.session import cut
 
 
 def by_position(rows: DataFrame, k: int, clean: bool = True) -> DataFrame:
@@ -29,31 +30,38 @@ def kmer_groups(kmers: DataFrame) -> DataFrame:
     return kmers.join(kmer_counts(kmers).filter("n > 1"), ["group_id", "pos", "kmer"], "left_semi")
 
 
-def singletons(rows: DataFrame, k: int, min_similarity: int) -> DataFrame:
+def singletons(rows: DataFrame, k: int, min_similarity: int, first: int = 4) -> DataFrame:
     """``group_id, seq_name, pos`` of the k-mers that only one record, or one pair of alleles, has at a position.
 
     A k-mer is supported if another k-mer of its position equals it in more than ``min_similarity`` letters that are no
-    gap. Kinds of k-mer, not records, are compared, and only with those that share a block of letters in place: of
-    ``min_similarity + 1`` equal letters, one of the blocks below has to be equal throughout.
+    gap. Kinds of k-mer, not records, are compared: rare ones first with the ``first`` most frequent kinds of
+    their position, which support most of them; what is left with those that share a block of letters in place: of
+    ``min_similarity + 1`` equal letters, one of the blocks below has to be equal throughout and free of gaps.
     """
     kmers = by_position(rows, k, clean=False)
     kinds = kmers.groupBy("group_id", "pos", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("seq_name").alias("one"), F.max("seq_name").alias("two"))
     pair = F.col("one").rlike(r"_allele_0\z") & F.col("two").rlike(r"_allele_1\z") & (without_allele(F.col("one")) == without_allele(F.col("two")))
     once = (F.col("n") == 1) | ((F.col("n") == 2) & pair)
-    differ = k - min_similarity - 1
-    blocks = differ + 1
-    size = max(1, k // blocks)
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("kmer", i * size + 1, size if i < blocks - 1 else k).alias("part")) for i in range(blocks)])
-    quick, keys = k <= dna.PACKED, ["group_id", "pos", "i", "part"]
+    quick = k <= dna.PACKED
     mine, theirs = (dna.packed(F.col("kmer"), "u"), dna.packed(F.col("kmer"), "v")) if quick else (F.col("kmer"), F.col("kmer"))
-    coded = kinds.select("group_id", "pos", "kmer", once.alias("once"), mine.alias("mine"), theirs.alias("theirs"))
-    keyed = coded.select("group_id", "pos", "kmer", "once", "mine", "theirs", F.explode(parts).alias("b")).select("group_id", "pos", "kmer", "once", "mine", "theirs", "b.i", "b.part")
-    rare = keyed.filter("once").select(*keys, "kmer", "mine")
-    other = keyed.select(*keys, F.col("kmer").alias("other"), "theirs")
     same = dna.packed_similarity(F.col("mine"), F.col("theirs"), k) if quick else dna.similarity(F.col("mine"), F.col("theirs"))
-    supported = rare.join(other, keys).filter((F.col("other") != F.col("kmer")) & (same > min_similarity)).select("group_id", "pos", "kmer").distinct()
-    alone = kinds.filter(once).join(supported, ["group_id", "pos", "kmer"], "left_anti").select("group_id", "pos", "kmer")
-    return kmers.join(alone, ["group_id", "pos", "kmer"], "left_semi").select("group_id", "seq_name", "pos")
+    near = (F.col("other") != F.col("kmer")) & (same > min_similarity)
+    coded = cut(kinds.select("group_id", "pos", "kmer", "n", once.alias("once"), mine.alias("mine"), theirs.alias("theirs")))
+    place, name = ["group_id", "pos"], ["group_id", "pos", "kmer"]
+    often = F.row_number().over(W.partitionBy(*place).orderBy(F.desc("n"), "kmer"))
+    top = coded.select(*place, F.col("kmer").alias("other"), "theirs", often.alias("r")).filter(F.col("r") <= first).drop("r")
+    rare = coded.filter("once").select(*name, "mine")
+    known = rare.join(top, place).filter(near).select(*name).distinct()
+    rare = cut(rare.join(known, name, "left_anti"))
+    number = k - min_similarity
+    size = max(1, k // number)
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("kmer", i * size + 1, size if i < number - 1 else k).alias("part")) for i in range(number)])
+    blocks = lambda df: df.withColumn("b", F.explode(parts)).withColumn("i", F.col("b.i")).withColumn("part", F.col("b.part")).drop("b").filter("NOT contains(part, '-')")
+    keys = [*place, "i", "part"]
+    other = blocks(coded.select(*name, "theirs")).withColumnRenamed("kmer", "other")
+    supported = blocks(rare).join(other, keys).filter(near).select(*name).distinct()
+    alone = rare.join(supported, name, "left_anti").select(*name)
+    return kmers.join(alone, name, "left_semi").select("group_id", "seq_name", "pos")
 
 
 def dense_masks(flags: DataFrame, rows: DataFrame, k: int, window: int, share: float, gap_run: int) -> DataFrame:

@@ -17,10 +17,13 @@ def distinct_reads(df: DataFrame, name: Column) -> DataFrame:
 
 
 def mate_pairs(reads: DataFrame) -> DataFrame:
-    """``read_name, seq_name, lo, hi, seq``: the first two reads of a name on one record, the gap between them filled
-    with ``-``; overlapping mates are merged at their positions, the first read counting. Single reads stay as they are."""
+    """``read_name, seq_name, lo, hi, seq``: the first two reads of a name on one record, by start and text, the gap between
+    them filled with ``-``; overlapping mates are merged at their positions, the first read counting. Single reads stay as
+    they are; a third read of a name is no mate."""
     order = F.struct("lo", "seq")
-    ends = reads.groupBy("read_name", "seq_name").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("n"), F.max(order).alias("two"))
+    place = F.row_number().over(W.partitionBy("read_name", "seq_name").orderBy("lo", "seq"))
+    first = reads.withColumn("r", place).filter("r <= 2")
+    ends = first.groupBy("read_name", "seq_name").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("n"), F.max(order).alias("two"))
     size = F.length("one.seq")
     ahead = F.col("two.lo") - F.col("one.lo") - size
     merged = F.when(ahead >= 0, F.concat("one.seq", F.repeat(F.lit("-"), ahead), "two.seq")).otherwise(F.concat(F.col("one.seq"), F.substring(F.col("two.seq"), 1 - ahead, F.length("two.seq"))))

@@ -418,9 +418,9 @@ def path_assembly(spark: SparkSession, folder: str) -> DataFrame:
     return linkage.fragment_paths(src.aligned(spark, folder), 60)
 
 
-@query(f"""WITH {RD} , m AS (SELECT read_name, seq_name, count(*) n, min((lo, seq)) p, max((lo, seq)) q FROM (SELECT read_name, seq_name, lo, seq FROM rd) GROUP BY 1, 2),
-    k AS (SELECT *, p[1] lo, q[1] - p[1] - length(p[2]) ahead FROM m), z AS (SELECT read_name, seq_name, lo, CASE WHEN n = 1 THEN p[2] WHEN ahead >= 0 THEN p[2] || repeat('-', ahead) || q[2] ELSE p[2] || substr(q[2], (1 - ahead)::BIGINT) END seq FROM k)
-    SELECT read_name, seq_name, lo, (lo + length(seq))::INTEGER hi, seq FROM z""".replace("min((lo, seq))", "min(row(lo, seq))").replace("max((lo, seq))", "max(row(lo, seq))"))
+@query(f"""WITH {RD}, o AS (SELECT read_name, seq_name, lo, seq, lead(lo) OVER w nlo, lead(seq) OVER w nseq, row_number() OVER w r FROM rd WINDOW w AS (PARTITION BY read_name, seq_name ORDER BY lo, seq)),
+    k AS (SELECT *, nlo - lo - length(seq) ahead FROM o WHERE r = 1), z AS (SELECT read_name, seq_name, lo, CASE WHEN nlo IS NULL THEN seq WHEN ahead >= 0 THEN seq || repeat('-', ahead) || nseq ELSE seq || substr(nseq, (1 - ahead)::BIGINT) END seq FROM k)
+    SELECT read_name, seq_name, lo, (lo + length(seq))::INTEGER hi, seq FROM z""")
 def mate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return reads.mate_pairs(reads.distinct_reads(table(spark, folder, "reads"), names.canonical_name(F.col("seq_name"))))
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from clademill import config
-from clademill.functions import dna
+from clademill.functions import arrays, dna
 from clademill.operators import columns, kmers, pairs, reads
 from clademill.plans import alignments
 
@@ -127,3 +127,21 @@ def test_phased_sequences_of_contigs_and_loci(spark, tmp_path):
     got = {r.seq_name: r.seq for r in alignments.QUERIES["phased_sequences"](spark, str(tmp_path)).collect()}
     assert got.keys() == {"gen_sp|l1", "gen_sp|c1_allele_0", "gen_sp|c1_allele_1", "gen_sp|c2"}
     assert got["gen_sp|l1"] == "ACGT" and {got["gen_sp|c1_allele_0"], got["gen_sp|c1_allele_1"]} == {"ACGTA", "AGGAA"}
+
+
+def test_mates_are_the_first_two_reads(spark):
+    rows = [("m", "x", 4, 6, "GG"), ("m", "x", 0, 2, "AC"), ("m", "x", 7, 9, "TT"), ("m", "y", 1, 2, "A"), ("o", "x", 0, 3, "AAA"), ("o", "x", 1, 3, "CC")]
+    got = {(r.read_name, r.seq_name): (r.lo, r.hi, r.seq) for r in reads.mate_pairs(spark.createDataFrame(rows, "read_name string, seq_name string, lo int, hi int, seq string")).collect()}
+    assert got == {("m", "x"): (0, 6, "AC--GG"), ("m", "y"): (1, 2, "A"), ("o", "x"): (0, 3, "AAA")}
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([([1] * 2000,), ([3, 4],), ([],), (None,)], "n array<int>")
+    got = [r[0] for r in df.select(arrays.running_totals(F.col("n"))).collect()]
+    assert got == [list(range(1, 2001)), [3, 7], [], None]
+
+
+def test_many_runs_of_one_text(spark):
+    df = spark.createDataFrame([("AC-" * 1500 + "A",)], "s string")
+    got = [tuple(r) for r in df.select(dna.ungapped_runs(F.col("s"))).first()[0]]
+    assert got == [(3 * i, 3 * i + 2) for i in range(1500)] + [(4500, 4501)]

@@ -2,20 +2,29 @@ import random
 
 from clademill.operators import graph, groups, linkage
 
-BAGS = [[{1, 2, 3, 4}, {6, 7, 8}, {9, 10}], [{4, 5}, {6, 7, 8, 9}, {11}], [{1, 2, 3, 4}, {6, 7, 8}, {12}], [{1, 2, 3, 4}, {6, 7}, {13, 8}]]
 
+def roots(edges):
+    """The smallest member of the set of each end of an edge, by union and find."""
+    up = {}
 
-def sets(rows):
-    out = {}
-    for r in rows:
-        out.setdefault(r.component, set()).add(r.vertex)
-    return sorted(map(sorted, out.values()))
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
 
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        up[high] = low
+    return {x: find(x) for x in list(up)}
 
-def test_components_of_overlapping_sets(spark):
-    edges = [(min(s), x) for bag in BAGS for s in bag for x in s]
-    got = graph.connected_components(spark.createDataFrame(edges + edges[:3] + [(None, 1)], "a int, b int"))
-    assert sets(got.collect()) == [[1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 13]]
+
+def test_components_of_random_edges(spark):
+    rnd = random.Random(12)
+    edges = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(200, x) for x in range(0, 30, 7)]
+    edges = [(a, b) for a, b in edges if a != b]
+    rows = edges + edges[:9] + [(b, a) for a, b in edges[:5]] + [(None, 1), (3, 3), (500, 500)]
+    got = {r.vertex: r.component for r in graph.connected_components(spark.createDataFrame(rows, "a int, b int")).collect()}
+    assert got == roots(edges)
     assert graph.connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 

@@ -1,6 +1,9 @@
 import random
 
-from clademill import config
+import pytest
+from pyspark.sql import functions as F
+
+from clademill import config, session
 from clademill.plans import alignments, tools
 
 ROWS = "group_id string, seq_name string, taxon string, seq string, is_outgroup boolean"
@@ -58,3 +61,34 @@ def test_outparalog_query_sweeps_every_length(monkeypatch):
     monkeypatch.setattr(tools, "outparalogs", lambda rows, distances, p, min_positions: seen.append(p))
     alignments.QUERIES["outparalog_components"](None, "")
     assert [p.kmers for p in seen] == [(6, 9, 12, 15)]
+
+
+def test_checkpoint_folder_has_to_be_shared():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
+
+
+def test_written_measures_bytes_and_counts(spark, monkeypatch):
+    df = spark.createDataFrame([("a" * 100, [1, 2]), (None, None)], "s string, n array<int>")
+    table, found = session.written(df, full=F.count_if(F.col("s").isNotNull()))
+    assert found["full"] == 1 and found["bytes"] > 100 and table.count() == 2
+    assert session.written(df.limit(0), n=F.count(F.lit(1)))[1] == {"bytes": 0, "n": 0}
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1)
+    big = session.cut(df.select("s"))
+    assert "strategy=merge" in df.join(big, "s")._jdf.queryExecution().optimizedPlan().toString()
