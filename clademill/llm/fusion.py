@@ -7,14 +7,21 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clademill.session import cut
+from clademill.session import cut, written
+
+
+#: By this much the votes for a value of less than the best grade shrink with each round, in a field where the grade decides.
+SHRINK = 0.25
+#: Rounds after which the discovery gives up with an error; it takes about the logarithm of the largest group.
+TOO_MANY = 60
+PARTS = 1_000_000  # in which moves are measured
 
 
 class Field:
-    """A field to be fused: its value, how good a value is (higher is better), and whether the best grade decides.
+    """A field to be fused: its value, how good a value is (higher is better), and whether the grade decides.
 
-    With ``strict`` only values of the best grade of an entity compete and votes decide between those; otherwise
-    votes decide, and the grade breaks ties.
+    With ``strict`` a value of less than the best grade of an entity loses weight from round to round, so that in the end a
+    single claim of the best grade outvotes any number of others; otherwise votes decide, and the grade breaks ties.
     """
 
     def __init__(self, value: Column, grade: Column | None = None, strict: bool = False) -> None:
@@ -22,58 +29,63 @@ class Field:
 
 
 def claims_of(df: DataFrame, entity: Column, source: Column, fields: Mapping[str, Field]) -> DataFrame:
-    """``entity, field, value, source, grade, strict, n``: how often a source claims a value.
+    """``entity, field, value, source, grade, lesser, n``: how often a source claims a value; ``lesser`` values are those of a
+    strict field that have not the best grade of their entity.
 
-    Null values claim nothing, rows without entity are left out; a null source is a source of its own.
+    Null values claim nothing, rows without entity are left out; a null source is a source of its own, a null grade the lowest.
     """
     said = [F.struct(F.lit(name).alias("field"), f.value.cast("string").alias("value"), (F.lit(0.0) if f.grade is None else f.grade.cast("double")).alias("grade"), F.lit(f.strict).alias("strict")) for name, f in fields.items()]
     rows = df.select(entity.alias("entity"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.explode(F.array(*said)).alias("c"))
     rows = rows.select("entity", "source", "c.*").filter(F.col("entity").isNotNull() & F.col("value").isNotNull())
-    return rows.groupBy("entity", "field", "value", "source").agg(F.max("grade").alias("grade"), F.first("strict").alias("strict"), F.count(F.lit(1)).alias("n"))
-
+    claims = cut(rows.groupBy("entity", "field", "value", "source").agg(F.max("grade").alias("grade"), F.first("strict").alias("strict"), F.count(F.lit(1)).alias("n")))
+    best = claims.groupBy("entity", "field").agg(F.max("grade").alias("best"))
+    return claims.join(best, ["entity", "field"]).withColumn("lesser", F.col("strict") & ~F.col("grade").eqNullSafe(F.col("best"))).drop("strict", "best")
 
-def votes(claims: DataFrame, reliability: DataFrame) -> DataFrame:
-    """``entity, field, value`` with its ``support``, the summed reliability of those who claim it."""
-    weighed = claims.join(reliability, "source", "left").withColumn("w", F.coalesce("w", F.lit(0.5)))
-    return weighed.groupBy("entity", "field", "value").agg(F.sum(F.col("w") * F.col("n")).alias("support"), F.max("grade").alias("grade"), F.first("strict").alias("strict"))
 
+def votes(claims: DataFrame, reliability: DataFrame, rounds: int) -> DataFrame:
+    """``entity, field, value, lesser`` with ``support``: the reliability of those who claim it, summed, after so many rounds."""
+    weighed = claims.join(reliability, "source", "left")
+    w = F.coalesce("w", F.lit(0.5)) * F.col("n") * F.when(F.col("lesser"), F.lit(SHRINK**rounds)).otherwise(1.0)
+    return weighed.groupBy("entity", "field", "value").agg(F.sum(w).alias("support"), F.max("grade").alias("grade"), F.bool_or("lesser").alias("lesser"))
 
-def competing(claims: DataFrame) -> DataFrame:
-    """The claims that can win: all of a voted field, those of the best grade of a strict one."""
-    best = claims.filter("strict").groupBy("entity", "field").agg(F.max("grade").alias("best"))
-    return claims.join(best, ["entity", "field"], "left").filter("best IS NULL OR grade <=> best").drop("best")
 
-
-def discover(claims: DataFrame, max_rounds: int = 5, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Votes and source reliabilities after convergence.
+def discover(claims: DataFrame, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame, int]:
+    """Votes and source reliabilities after convergence, and the number of rounds.
 
     A value's share of the votes of its entity and field is the belief in it; a source's reliability is
-    the mean belief in what it claims where claims differ, smoothed towards one half. Both are recomputed in turn until no
-    reliability moves by ``tolerance``, or after ``max_rounds``. Entities on which all agree tell nothing about sources and
-    take no part in the rounds; only one number a round comes to the driver.
+    the mean belief in what it claims where claims differ, in any field, smoothed towards one half. Both are recomputed in
+    turn, while lesser values of strict fields lose weight, until no reliability moves by ``tolerance`` and no lesser value
+    has more than ``tolerance`` of the support of its field's first. Entities on which all agree tell nothing about
+    sources and take no part in the rounds; only two numbers a round come to the driver. A ``tolerance`` of infinity is a plain
+    majority vote.
     """
+    reliability = cut(claims.select("source").distinct().withColumn("w", F.lit(0.5)))
+    if tolerance == float("inf"):
+        return votes(claims, reliability, 0), reliability, 0
     spread = claims.groupBy("entity", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo <> hi").select("entity", "field")
     argued = cut(claims.join(spread, ["entity", "field"], "left_semi"))
-    reliability = cut(claims.select("source").distinct().withColumn("w", F.lit(0.5)))
-    for _ in range(max_rounds):
-        support = votes(argued, reliability)
-        total = support.groupBy("entity", "field").agg(F.sum("support").alias("total"))
-        belief = support.join(total, ["entity", "field"]).select("entity", "field", "value", (F.col("support") / F.col("total")).alias("belief"))
-        judged = argued.join(belief, ["entity", "field", "value"]).groupBy("source").agg(((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).alias("new"))
-        moved = cut(reliability.join(judged, "source", "left").select("source", F.coalesce("new", "w").alias("w"), F.abs(F.coalesce("new", "w") - F.col("w")).alias("step")))
-        reliability = moved.drop("step")
-        if (moved.agg(F.max("step")).first()[0] or 0.0) < tolerance:
-            break
-    return votes(claims, reliability), reliability
-
-
-def fuse(df: DataFrame, entity: Column, source: Column, fields: Mapping[str, Field], max_rounds: int = 5) -> DataFrame:
+    for k in range(1, TOO_MANY + 1):
+        support = votes(argued, reliability, k - 1)
+        most = lambda lesser: F.max(F.when(F.col("lesser") == lesser, F.col("support")))
+        total = support.groupBy("entity", "field").agg(F.sum("support").alias("total"), F.coalesce(most(True) / most(False), F.lit(0.0)).alias("rest"))
+        belief = support.join(total, ["entity", "field"]).select("entity", "field", "value", (F.col("support") / F.col("total")).alias("belief"), "rest")
+        judged = argued.join(belief, ["entity", "field", "value"]).groupBy("source").agg(((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).alias("new"), F.max("rest").alias("rest"))
+        moved = reliability.join(judged, "source", "left").select("source", F.coalesce("new", "w").alias("w"), F.abs(F.coalesce("new", "w") - F.col("w")).alias("step"), "rest")
+        parts = lambda x: F.max(F.ceil(F.col(x) * PARTS))
+        moved, most_of = written(moved, step=parts("step"), rest=parts("rest"))
+        reliability = moved.select("source", "w")
+        if max(most_of["step"], most_of["rest"]) < tolerance * PARTS:
+            return votes(claims, reliability, k - 1), reliability, k
+    raise RuntimeError(f"no convergence after {TOO_MANY} rounds")
+
+
+def fuse(df: DataFrame, entity: Column, source: Column, fields: Mapping[str, Field], tolerance: float = 0.01) -> DataFrame:
     """One row per entity: ``entity`` and, for each field, its surviving value as text (null if never claimed).
 
     Of equal support the better grade wins, then the smallest text. Extra columns are ignored.
     """
-    claims = cut(competing(claims_of(df, entity, source, fields)))
-    support, _ = discover(claims, max_rounds)
+    claims = cut(claims_of(df, entity, source, fields))
+    support, _, _ = discover(claims, tolerance)
     order = F.struct((-F.col("support")).alias("s"), (-F.col("grade")).alias("g"), F.col("value"))
     won = support.groupBy("entity", "field").agg(F.min(order)["value"].alias("value"))
     chosen = won.groupBy("entity").agg(*[F.max(F.when(F.col("field") == name, F.col("value"))).alias(name) for name in fields])

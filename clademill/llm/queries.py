@@ -34,7 +34,7 @@ def letters(seq: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(seq, "[^ACGTacgt]", "")), F.lit(0))
 
 
-def fused_contigs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def fused_contigs(spark: SparkSession, folder: str, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "contigs").withColumn("name", name_of(F.col("taxon"), F.col("contig")))
     batch = F.concat_ws(" ", F.col("trust").cast("string"), F.date_format("loaded_at", "yyyy-MM"))
     loaded = F.unix_micros("loaded_at")
@@ -45,11 +45,11 @@ def fused_contigs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         "trust": fusion.Field(F.col("trust"), F.col("trust"), strict=True),
     }
     repeated = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1 AND name IS NOT NULL")
-    return rows, fusion.fuse(rows.join(repeated, "name", "left_semi"), F.col("name"), batch, fields)
+    return rows, fusion.fuse(rows.join(repeated, "name", "left_semi"), F.col("name"), batch, fields, tolerance)
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows, fused = fused_contigs(spark, folder)
+def p2_found(spark: SparkSession, folder: str, tolerance: float = 0.01) -> DataFrame:
+    rows, fused = fused_contigs(spark, folder, tolerance)
     fused = fused.select(F.col("entity").alias("name"), letters(F.col("seq")).alias("best"), F.col("loaded").cast("long").alias("latest"), F.col("trust").cast("int").alias("top"))
     same = rows.select("name", "row_id", letters(F.col("seq")).alias("n"), F.unix_micros("loaded_at").alias("loaded"), "trust").join(fused, "name")
     same = same.filter((F.col("n") == F.col("best")) & F.col("loaded").eqNullSafe(F.col("latest")) & F.col("trust").eqNullSafe(F.col("top")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clademill.functions.arrays import running_totals
 from clademill.llm import encode as enc
 
 LIMIT, OVERLAP = 512, 32
@@ -79,18 +80,17 @@ def marked(df: DataFrame, text: str, keep: list[str], limit: int, folder: str |
 
 def cut_pattern(step: int) -> str:
     """Bounded alternatives, strongest boundary first: the whole rest, then the last message, file, hunk or line
-    end of the second half of a step, then of the first, then a piece, and at last a character, of which each has
-    at most four tokens."""
+    end of the second half of a step, then those of the first half in the same order, then a piece, and at last a
+    character, of which each has at most four tokens."""
     half = max(0, step // 2 - 1)
-    strong = [f".{{{half},{step - 1}}}{m}" for m in "mfhl"]
-    return "|".join([rf".{{1,{step}}}\z", *strong, f".{{0,{half}}}[mfhl]", f".{{0,{step - 1}}}w", f".{{0,{step - 1}}}[^x]"])
+    late = [f".{{{half},{step - 1}}}{m}" for m in "mfhl"]
+    early = [f".{{0,{half}}}{m}" for m in "mfhl"]
+    return "|".join([rf".{{1,{step}}}\z", *late, *early, f".{{0,{step - 1}}}w", f".{{0,{step - 1}}}[^x]"])
 
 
 def stops(marks: Column, step: int) -> Column:
     """The token numbers at which the new parts of the pieces of a marked text end."""
-    lengths = F.transform(F.regexp_extract_all(marks, F.lit(cut_pattern(step)), F.lit(0)), F.length)
-    last = lambda done: F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))
-    return F.aggregate(lengths, F.array().cast("array<int>"), lambda done, n: F.concat(done, F.array(last(done) + n)))
+    return running_totals(F.transform(F.regexp_extract_all(marks, F.lit(cut_pattern(step)), F.lit(0)), F.length))
 
 
 def with_spans(df: DataFrame, step: int, overlap: int) -> DataFrame:

@@ -1,9 +1,10 @@
+import datetime
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from clademill.llm import clusters, components, fusion
+from clademill.llm import clusters, components, fusion, queries
 
 
 def test_components_against_union_find(spark):
@@ -48,11 +49,23 @@ def test_fusion_learns_who_is_right(spark):
             rows.append((f"e{e}", s, value, 1))
     df = spark.createDataFrame(rows, "e string, s string, v string, entity int")
     claims = fusion.claims_of(df, F.col("e"), F.col("s"), {"v": fusion.Field(F.col("v"))})
-    _, reliability = fusion.discover(claims, 8, 0.001)
+    _, reliability, rounds = fusion.discover(claims, 0.001)
+    assert 2 < rounds < 40
     w = {r.source: r.w for r in reliability.collect()}
     assert min(w["good1"], w["good2"]) > max(w["bad1"], w["bad2"], w["bad3"])
-    fused = {r.entity: r.v for r in fusion.fuse(df, F.col("e"), F.col("s"), {"v": fusion.Field(F.col("v"))}, 8).collect()}
+    fused = {r.entity: r.v for r in fusion.fuse(df, F.col("e"), F.col("s"), {"v": fusion.Field(F.col("v"))}, 0.001).collect()}
     assert sum(v == f"true{e[1:]}" for e, v in fused.items()) >= 57
+    voted = {r.entity: r.v for r in fusion.fuse(df, F.col("e"), F.col("s"), {"v": fusion.Field(F.col("v"))}, float("inf")).collect()}
+    assert voted != fused, "the rounds change what survives"
+
+
+def test_rounds_decide_the_row_that_is_found(spark, tmp_path):
+    """One row has the most letters, the latest load and the highest trust; copies of a lesser one outvote it until the rounds end."""
+    when = lambda d: datetime.datetime(2024, 1, d)
+    rows = [(i, "T x", "c1", "AC", 1, when(1)) for i in range(9)] + [(9, "t_x", "C1 more", "acgtN", 2, when(2)), (10, "t_x", "c1", "ACGT-", 2, when(2)), (11, "t y", "c", "A", None, None), (12, "t y", "c", "AC", 3, when(1)), (13, "t y", "c", "A", 3, when(4)), (14, None, "c", "A", 3, when(4)), (15, "t z", "c", None, None, None), (16, "t z", "c", None, None, None)]
+    spark.createDataFrame(rows, "row_id long, taxon string, contig string, seq string, trust int, loaded_at timestamp").withColumn("description", F.lit(None).cast("string")).withColumn("n", F.lit("clash")).write.parquet(f"{tmp_path}/contigs.parquet")
+    assert {r.row_id for r in queries.p2_found(spark, str(tmp_path)).collect()} == {9, 15}
+    assert {r.row_id for r in queries.p2_found(spark, str(tmp_path), float("inf")).collect()} == {0, 13, 15}
 
 
 def test_fusion_rules(spark):
