@@ -42,11 +42,12 @@ def claims_of(df: DataFrame, entity: Column, source: Column, fields: Mapping[str
     return claims.join(best, ["entity", "field"]).withColumn("lesser", F.col("strict") & ~F.col("grade").eqNullSafe(F.col("best"))).drop("strict", "best")
 
 
-def votes(claims: DataFrame, reliability: DataFrame, rounds: int) -> DataFrame:
-    """``entity, field, value, lesser`` with ``support``: the reliability of those who claim it, summed, after so many rounds."""
+def votes(claims: DataFrame, reliability: DataFrame, rounds: int, keys: tuple[str, ...] = ("entity", "field", "value")) -> DataFrame:
+    """``keys`` and ``support``, the reliability of those who claim a value, summed, after so many rounds; ``lesser`` and, if there is one, the best ``grade``."""
     weighed = claims.join(reliability, "source", "left")
     w = F.coalesce("w", F.lit(0.5)) * F.col("n") * F.when(F.col("lesser"), F.lit(SHRINK**rounds)).otherwise(1.0)
-    return weighed.groupBy("entity", "field", "value").agg(F.sum(w).alias("support"), F.max("grade").alias("grade"), F.bool_or("lesser").alias("lesser"))
+    grade = [F.max("grade").alias("grade")] if "grade" in claims.columns else []
+    return weighed.groupBy(*keys).agg(F.sum(w).alias("support"), F.bool_or("lesser").alias("lesser"), *grade)
 
 
 def discover(claims: DataFrame, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame, int]:
@@ -56,20 +57,21 @@ def discover(claims: DataFrame, tolerance: float = 0.01) -> tuple[DataFrame, Dat
     the mean belief in what it claims where claims differ, in any field, smoothed towards one half. Both are recomputed in
     turn, while lesser values of strict fields lose weight, until no reliability moves by ``tolerance`` and no lesser value
     has more than ``tolerance`` of the support of its field's first. Entities on which all agree tell nothing about
-    sources and take no part in the rounds; only two numbers a round come to the driver. A ``tolerance`` of infinity is a plain
+    sources and take no part in the rounds, which move numbers instead of texts; only two numbers a round come to the driver. A ``tolerance`` of infinity is a plain
     majority vote.
     """
     reliability = cut(claims.select("source").distinct().withColumn("w", F.lit(0.5)))
     if tolerance == float("inf"):
         return votes(claims, reliability, 0), reliability, 0
     spread = claims.groupBy("entity", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo <> hi").select("entity", "field")
-    argued = cut(claims.join(spread, ["entity", "field"], "left_semi"))
+    argued = claims.join(spread, ["entity", "field"], "left_semi")
+    argued = cut(argued.select(F.xxhash64("entity", "field").alias("slot"), F.xxhash64("entity", "field", "value").alias("item"), "source", "lesser", "n"))
     for k in range(1, TOO_MANY + 1):
-        support = votes(argued, reliability, k - 1)
+        support = votes(argued, reliability, k - 1, ("slot", "item"))
         most = lambda lesser: F.max(F.when(F.col("lesser") == lesser, F.col("support")))
-        total = support.groupBy("entity", "field").agg(F.sum("support").alias("total"), F.coalesce(most(True) / most(False), F.lit(0.0)).alias("rest"))
-        belief = support.join(total, ["entity", "field"]).select("entity", "field", "value", (F.col("support") / F.col("total")).alias("belief"), "rest")
-        judged = argued.join(belief, ["entity", "field", "value"]).groupBy("source").agg(((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).alias("new"), F.max("rest").alias("rest"))
+        total = support.groupBy("slot").agg(F.sum("support").alias("total"), F.coalesce(most(True) / most(False), F.lit(0.0)).alias("rest"))
+        belief = support.join(total, "slot").select("slot", "item", (F.col("support") / F.col("total")).alias("belief"), "rest")
+        judged = argued.join(belief, ["slot", "item"]).groupBy("source").agg(((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).alias("new"), F.max("rest").alias("rest"))
         moved = reliability.join(judged, "source", "left").select("source", F.coalesce("new", "w").alias("w"), F.abs(F.coalesce("new", "w") - F.col("w")).alias("step"), "rest")
         parts = lambda x: F.max(F.ceil(F.col(x) * PARTS))
         moved, most_of = written(moved, step=parts("step"), rest=parts("rest"))
@@ -86,7 +88,7 @@ def fuse(df: DataFrame, entity: Column, source: Column, fields: Mapping[str, Fie
     """
     claims = cut(claims_of(df, entity, source, fields))
     support, _, _ = discover(claims, tolerance)
-    order = F.struct((-F.col("support")).alias("s"), (-F.col("grade")).alias("g"), F.col("value"))
+    order = F.struct((-F.col("support")).alias("s"), F.coalesce(-F.col("grade"), F.lit(float("inf"))).alias("g"), F.col("value"))
     won = support.groupBy("entity", "field").agg(F.min(order)["value"].alias("value"))
     chosen = won.groupBy("entity").agg(*[F.max(F.when(F.col("field") == name, F.col("value"))).alias(name) for name in fields])
     everyone = df.select(entity.alias("entity")).filter("entity IS NOT NULL").distinct()
