@@ -7,12 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clademill.llm.components import components
-from clademill.session import cut, is_empty
+from clademill.session import cut, written
 
 #: Distances below this are close; the data leave 15 to 20 empty.
 CLOSE = 17.5
@@ -21,6 +23,8 @@ DIMENSIONS, ROUNDS, SHARPNESS = 32, 5, 4
 RADIUS = 0.2
 #: Points per cell that is aimed at; larger cells are parted.
 CELL_POINTS = 2000
+#: Records within the radius of a core point, itself included; two, as pairs have to come out as clusters.
+MIN_WEIGHT = 2
 
 
 def measured(df: DataFrame, group: Column, a: Column, b: Column, distance: Column) -> DataFrame:
@@ -31,16 +35,49 @@ def measured(df: DataFrame, group: Column, a: Column, b: Column, distance: Colum
     return pairs.groupBy("group", "a", "b").agg(F.median("distance").alias("distance"))
 
 
-def unit(names: list[str]) -> Column:
-    """The columns ``names`` as an array of length one."""
-    norm = F.sqrt(sum((F.col(x) * F.col(x) for x in names), F.lit(0.0)))
-    return F.transform(F.array(*names), lambda x: (x / norm).cast("float"))
+#: Names of the coordinates while they are columns, and SQL for all of them at once; single Column calls would take longer than the work.
+V = [f"v{i}" for i in range(DIMENSIONS)]
 
 
-def signs(name: Column) -> Column:
-    """A random vector of +1 and -1 that depends on the name only."""
-    h = F.xxhash64(name)
-    return F.array(*[(1 - 2 * F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1))).cast("float") for i in range(DIMENSIONS)])
+def with_unit(df: DataFrame) -> DataFrame:
+    """``group, name, v``: the coordinates as an array of length one."""
+    long = df.selectExpr("`group`", "name", *V, f"sqrt({' + '.join(f'{x} * {x}' for x in V)}) AS norm")
+    return long.selectExpr("`group`", "name", f"array({', '.join(f'float({x} / norm)' for x in V)}) AS v")
+
+
+def sign(name: str, i: int) -> str:
+    """SQL of number ``i`` of the random vector of +1 and -1 that depends on the name only."""
+    return f"(1 - 2 * (shiftrightunsigned(xxhash64({name}), {i}) & 1))"
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), DIMENSIONS)
+
+
+def pulls(near: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``group, name, v``: sums of the vectors of the close records of each record, by a power of their cosine with its own.
+
+    The join leaves the pairs of a record beside each other, so that each task adds up most of them at once.
+    """
+    there = vectors.select("group", F.col("name").alias("other"), F.col("v").alias("ov"))
+    both = near.join(there, ["group", "other"]).join(vectors, ["group", "name"]).select("group", "name", "v", "ov")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            group, name = batch.column(0), batch.column(1)
+            same = pc.and_(pc.equal(group[1:], group[:-1]), pc.equal(name[1:], name[:-1])).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            own, other = matrix(batch.column(2)), matrix(batch.column(3))
+            weight = np.maximum(np.einsum("ij,ij->i", own, other), 0) ** SHARPNESS
+            total = np.add.reduceat(other * weight[:, None], first, axis=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * DIMENSIONS, pa.int32()), pa.array(total.astype(np.float32).ravel()))
+            take = pa.array(first)
+            yield pa.RecordBatch.from_arrays([group.take(take), name.take(take), lists], names=["group", "name", "v"])
+
+    return both.mapInArrow(run, vectors.select("group", "name", "v").schema)
 
 
 def reduced_vectors(pairs: DataFrame, close: float = CLOSE) -> DataFrame:
@@ -50,23 +87,16 @@ def reduced_vectors(pairs: DataFrame, close: float = CLOSE) -> DataFrame:
     records estimates how far their neighbourhoods agree. In each further round it moves towards its close
     records by a power of that cosine. Members of a cluster, whose neighbourhoods agree even if one
     measurement is missing or wrong, fall together; records that one wrong measurement makes close hardly move. The cost is
-    proportional to the close pairs, however dense a cluster is.
+    proportional to the close pairs, however dense a cluster is. The number of rounds is part of the definition: they sharpen
+    the start, they are no search for a fixed point.
     """
     near = pairs.filter(F.col("distance") < close).select("group", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("group", F.col("e.a").alias("name"), F.col("e.b").alias("other"))
     near = cut(near)
-    v = [f"v{i}" for i in range(DIMENSIONS)]
-    each = lambda source, weight: [F.sum(F.get(source, F.lit(i)) * weight).alias(v[i]) for i in range(DIMENSIONS)]
-    start = near.withColumn("s", signs("other")).groupBy("group", "name").agg(*each("s", F.lit(1.0)))
-    own = start.withColumn("o", signs("name")).select("group", "name", *[(F.col(x) + F.get("o", F.lit(i))).alias(x) for i, x in enumerate(v)])
-    vectors = cut(own.select("group", "name", unit(v).alias("v")))
+    start = near.groupBy("group", "name").agg(*[F.expr(f"sum({sign('other', i)}) AS {x}") for i, x in enumerate(V)])
+    vectors = cut(with_unit(start.selectExpr("`group`", "name", *[f"{x} + {sign('name', i)} AS {x}" for i, x in enumerate(V)])))
     for _ in range(ROUNDS - 1):
-        there = vectors.select("group", F.col("name").alias("other"), F.col("v").alias("ov"))
-        both = near.join(vectors, ["group", "name"]).join(there, ["group", "other"])
-        cosine = F.aggregate(F.zip_with("v", "ov", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        pull = both.select("group", "name", "ov", F.pow(F.greatest(cosine, F.lit(0.0)), F.lit(SHARPNESS)).alias("w"))
-        steps = pull.unionByName(vectors.select("group", "name", F.col("v").alias("ov"), F.lit(1.0).alias("w")))
-        moved = steps.groupBy("group", "name").agg(*each("ov", F.col("w")))
-        vectors = cut(moved.select("group", "name", unit(v).alias("v")))
+        moved = pulls(near, vectors).unionByName(vectors).groupBy("group", "name").agg(*[F.expr(f"sum(v[{i}]) AS {x}") for i, x in enumerate(V)])
+        vectors = cut(with_unit(moved))
     return vectors
 
 
@@ -77,17 +107,20 @@ def point_of() -> Column:
 
 
 def micro_points(vectors: DataFrame) -> DataFrame:
-    """``group, point, v, n``: records in one fine grid cell, whose diagonal is the radius, are one point.
+    """``group, point, v, weight``: records in one fine grid cell, whose diagonal is the radius, are one point.
 
     The records of a dense spot thus cost one row, however many they are.
     """
     keyed = vectors.withColumn("point", point_of())
-    mean = F.array(*[F.avg(F.get("v", F.lit(i))).cast("float") for i in range(DIMENSIONS)])
-    return keyed.groupBy("group", "point").agg(mean.alias("v"), F.count(F.lit(1)).alias("n"))
+    mean = F.expr(f"array({', '.join(f'float(avg(v[{i}]))' for i in range(DIMENSIONS))})")
+    return keyed.groupBy("group", "point").agg(mean.alias("v"), F.count(F.lit(1)).alias("weight"))
+
+
+KEPT = ["point", "v", "weight"]
 
 
 def parted(rows: DataFrame) -> DataFrame:
-    """``group, cell, before, point, v``: each cell of ``rows`` (with its size ``n``) in overlapping cells around some of its points.
+    """``group, cell, before, point, v, weight``: each cell of ``rows`` (with its size ``n``) in overlapping cells around some of its points.
 
     A point lies in the cell of each pivot whose bisector with the point's nearest pivot it passes by half the radius at
     most. The midpoint of two points within the radius has a nearest pivot, and both lie in that one's cell. Pivots are a small
@@ -115,30 +148,31 @@ def parted(rows: DataFrame) -> DataFrame:
                     i, j = np.nonzero(behind <= RADIUS * apart + 1e-5)
                     yield own.iloc[i].assign(cell=own["cell"].to_numpy()[i] + "." + j.astype(str).astype(object))
 
-    plain = rows.select("group", "cell", F.col("n").alias("before"), "point", "v")
+    plain = rows.select("group", "cell", F.col("n").alias("before"), *KEPT)
     return plain.mapInPandas(split, plain.schema)
 
 
 def cells(points: DataFrame) -> DataFrame:
-    """``group, cell, point, v``: overlapping cells of about ``CELL_POINTS`` points at most; two points within ``RADIUS`` share one.
+    """``group, cell, point, v, weight``: overlapping cells of about ``CELL_POINTS`` points at most.
 
-    A group that is small enough is one cell; larger cells are parted again and again. Where that hardly
-    separates points, as in a spot no wider than the radius, each pair of blocks of the points is a cell.
+    Two points within ``RADIUS`` share a cell. A group that is small enough is one cell; larger cells are parted again and
+    again. Where that hardly separates points, as in a spot no wider than the radius, each pair of blocks of the points
+    is a cell.
     """
     found = []
-    rest = points.select("group", F.lit("").alias("cell"), F.lit(None).cast("bigint").alias("before"), "point", "v")
+    rest = points.select("group", F.lit("").alias("cell"), F.lit(None).cast("bigint").alias("before"), "point", "v", "weight")
     while True:
-        large = cut(rest.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_POINTS))
-        if is_empty(large):
-            found.append(rest.select("group", "cell", "point", "v"))
+        large, n = written(rest.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_POINTS), n=F.count(F.lit(1)))
+        if not n["n"]:
+            found.append(rest.select("group", "cell", *KEPT))
             break
-        found.append(rest.join(large, ["group", "cell"], "left_anti").select("group", "cell", "point", "v"))
+        found.append(rest.join(large, ["group", "cell"], "left_anti").select("group", "cell", *KEPT))
         over = cut(rest.join(large, ["group", "cell"]).withColumn("stuck", F.coalesce(F.col("n") > 0.7 * F.col("before"), F.lit(False))))
         blocks = F.ceil(3 * F.col("n") / CELL_POINTS).cast("int")
-        block = F.pmod(F.xxhash64("point"), blocks)
+        block = F.pmod(F.xxhash64("point"), blocks).cast("int")
         both = over.filter("stuck").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         name = F.concat_ws("-", F.concat("cell", F.lit(":"), F.least("block", "other").cast("string")), F.greatest("block", "other").cast("string"))
-        found.append(both.select("group", name.alias("cell"), "point", "v"))
+        found.append(both.select("group", name.alias("cell"), *KEPT))
         rest = cut(parted(over.filter("NOT stuck")))
     return reduce(DataFrame.unionByName, found)
 
@@ -149,16 +183,35 @@ def normed(rows: Iterable) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def core_points(held: DataFrame) -> DataFrame:
+    """``group, point`` of the points of ``cells`` that have records of ``MIN_WEIGHT`` within the radius in one of their cells.
+
+    For a minimum of two, which one neighbour or one double point meets, that is the same as over all cells.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v, weight = normed(rows["v"]), rows["weight"].to_numpy()
+        total = np.concatenate([(2 - 2 * (v[lo : lo + 512] @ v.T) <= RADIUS**2) @ weight for lo in range(0, len(v), 512)])
+        return pd.DataFrame({"group": rows["group"].to_numpy(), "point": rows["point"].to_numpy()})[total >= MIN_WEIGHT]
+
+    kind = held.schema["group"].dataType.simpleString()
+    return held.groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string").distinct()
+
+
 def local_links(points: DataFrame) -> DataFrame:
-    """``group, point, rep``: within each cell, points and the first point of their local cluster.
+    """``group, point, rep``: core points with the first one of their local cluster, other points with their nearest core point.
 
-    Any two points within ``RADIUS`` share a cell. A point with a neighbour is a core point; one that lies in several
-    cells links their local clusters.
+    A local cluster is what core points of one cell reach over core points within ``RADIUS``; a core point that lies in several
+    cells links its local clusters. A point that is no core one joins the core point nearest to it within the radius, if
+    there is one, and links nothing else.
     """
+    held = cut(cells(points))
+    flagged = held.join(core_points(held).withColumn("core", F.lit(True)), ["group", "point"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point")
-        v = normed(rows["v"])
+        names, every, core = rows["point"].to_numpy(), normed(rows["v"]), rows["core"].to_numpy()
+        v = every[core]
         first, left = np.arange(len(v)), np.arange(len(v))
         while len(left):
             reached, left = left[:1], left[1:]
@@ -169,12 +222,21 @@ def local_links(points: DataFrame) -> DataFrame:
                     near |= (2 - 2 * (v[reached[lo : lo + 512]] @ v[left].T) <= RADIUS**2).any(axis=0)
                 reached, left = left[near], left[~near]
                 first[reached] = seed
-        names = rows["point"].to_numpy()
-        return pd.DataFrame({"group": rows["group"].to_numpy(), "point": names, "rep": names[first]})
+        out = [pd.DataFrame({"point": names[core], "rep": names[core][first], "apart": -1.0})]
+        if len(v) and not core.all():
+            apart = 2 - 2 * (every[~core] @ v.T)
+            nearest = apart.argmin(axis=1)
+            least = apart[np.arange(len(apart)), nearest]
+            kept = least <= RADIUS**2
+            out.append(pd.DataFrame({"point": names[~core][kept], "rep": names[core][nearest[kept]], "apart": np.maximum(least[kept], 0).astype(float)}))
+        found = pd.concat(out)
+        return found.assign(group=rows["group"].iloc[0])[["group", "point", "rep", "apart"]]
 
     kind = points.schema["group"].dataType.simpleString()
-    found = cells(points).groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string, rep string")
-    return found.filter("point <> rep").distinct()
+    found = cut(flagged.groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string, rep string, apart double"))
+    inner = found.filter("apart < 0 AND point <> rep").select("group", "point", "rep").distinct()
+    outer = found.filter("apart >= 0").groupBy("group", "point").agg(F.min(F.struct("apart", "rep"))["rep"].alias("rep"))
+    return inner.unionByName(outer)
 
 
 def density_clusters(pairs: DataFrame, close: float = CLOSE) -> DataFrame:

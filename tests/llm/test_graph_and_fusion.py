@@ -126,12 +126,14 @@ def test_cells_are_bounded_and_hold_every_near_pair(spark, monkeypatch):
     v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
     spot = v[0] + rnd.normal(size=(300, 32)) * 0.002
     v = np.concatenate([v, (spot / np.linalg.norm(spot, axis=1, keepdims=True)).astype(np.float32)])
-    df = spark.createDataFrame([("g", f"p{i:04d}", x.tolist()) for i, x in enumerate(v)], "group string, point string, v array<float>")
+    df = spark.createDataFrame([("g", f"p{i:04d}", x.tolist()) for i, x in enumerate(v)], "group string, point string, v array<float>").withColumn("weight", F.lit(1).cast("long"))
     monkeypatch.setattr(clusters, "CELL_POINTS", 150)
     held = {}
     for r in clusters.cells(df).collect():
         held.setdefault(r.cell, []).append(int(r.point[1:]))
     assert max(map(len, held.values())) <= 150
+    close = 2 - 2 * (v.astype(float) @ v.T.astype(float)) < 0.2**2
+    assert {int(r.point[1:]) for r in clusters.core_points(clusters.cells(df)).collect()} == set(np.flatnonzero(close.sum(axis=1) >= 2))
     near = {(i, j) for i, j in zip(*np.nonzero(2 - 2 * (v.astype(float) @ v.T.astype(float)) < 0.2**2 - 1e-5)) if i < j}
     shared = {(i, j) for members in held.values() for i in members for j in members if i < j}
     assert len(near) > 40_000 and near <= shared
@@ -139,3 +141,14 @@ def test_cells_are_bounded_and_hold_every_near_pair(spark, monkeypatch):
     assert all(joined[f"p{i:04d}"] == joined[f"p{j:04d}"] for i, j in near)
     monkeypatch.setattr(clusters, "CELL_POINTS", 10_000)
     assert joined == {r.vertex: r.component for r in components.components(clusters.local_links(df).select(F.col("point").alias("a"), F.col("rep").alias("b"))).collect()}
+
+
+def test_border_points_never_merge(spark, monkeypatch):
+    """Two dense spots and a thin bridge of single points between them: one cluster without density, two with it."""
+    turn = lambda a: [np.cos(a), np.sin(a)] + [0.0] * 30
+    angles = [-0.05, -0.04, -0.03, -0.02, 0.0, 0.19, 0.36, 0.55, 0.57, 0.58, 0.59, 0.6]
+    df = spark.createDataFrame([("g", f"p{i:02d}", [float(x) for x in turn(a)], 1) for i, a in enumerate(angles)], "group string, point string, v array<float>, weight long")
+    for least, sizes in ((2, [12]), (5, [6, 6])):
+        monkeypatch.setattr(clusters, "MIN_WEIGHT", least)
+        joined = components.components(clusters.local_links(df).select(F.col("point").alias("a"), F.col("rep").alias("b"))).groupBy("component").count().collect()
+        assert sorted(r["count"] for r in joined) == sizes
