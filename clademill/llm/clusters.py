@@ -183,19 +183,30 @@ def normed(rows: Iterable) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def unit_rows(rows: pa.Table) -> np.ndarray:
+    """The vectors ``v`` as rows of length one."""
+    v = matrix(rows["v"].combine_chunks())
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Cells by the number of shuffle partitions: they hold few bytes for the work that they make, so they must not be merged by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "cell")
+
+
 def core_points(held: DataFrame) -> DataFrame:
     """``group, point`` of the points of ``cells`` that have records of ``MIN_WEIGHT`` within the radius in one of their cells.
 
     For a minimum of two, which one neighbour or one double point meets, that is the same as over all cells.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v, weight = normed(rows["v"]), rows["weight"].to_numpy()
+    def run(rows: pa.Table) -> pa.Table:
+        v, weight = unit_rows(rows), rows["weight"].to_numpy()
         total = np.concatenate([(2 - 2 * (v[lo : lo + 512] @ v.T) <= RADIUS**2) @ weight for lo in range(0, len(v), 512)])
-        return pd.DataFrame({"group": rows["group"].to_numpy(), "point": rows["point"].to_numpy()})[total >= MIN_WEIGHT]
+        return rows.select(["group", "point"]).filter(pa.array(total >= MIN_WEIGHT))
 
     kind = held.schema["group"].dataType.simpleString()
-    return held.groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string").distinct()
+    return spread(held).groupBy("group", "cell").applyInArrow(run, f"group {kind}, point string").distinct()
 
 
 def local_links(points: DataFrame) -> DataFrame:
@@ -208,9 +219,9 @@ def local_links(points: DataFrame) -> DataFrame:
     held = cut(cells(points))
     flagged = held.join(core_points(held).withColumn("core", F.lit(True)), ["group", "point"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point")
-        names, every, core = rows["point"].to_numpy(), normed(rows["v"]), rows["core"].to_numpy()
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("point")
+        names, every, core = rows["point"].combine_chunks(), unit_rows(rows), rows["core"].to_numpy()
         v = every[core]
         first, left = np.arange(len(v)), np.arange(len(v))
         while len(left):
@@ -222,18 +233,21 @@ def local_links(points: DataFrame) -> DataFrame:
                     near |= (2 - 2 * (v[reached[lo : lo + 512]] @ v[left].T) <= RADIUS**2).any(axis=0)
                 reached, left = left[near], left[~near]
                 first[reached] = seed
-        out = [pd.DataFrame({"point": names[core], "rep": names[core][first], "apart": -1.0})]
-        if len(v) and not core.all():
-            apart = 2 - 2 * (every[~core] @ v.T)
-            nearest = apart.argmin(axis=1)
-            least = apart[np.arange(len(apart)), nearest]
+        of_core, of_rest = np.flatnonzero(core), np.flatnonzero(~core)
+        point, rep, apart = [of_core], [of_core[first]], [np.full(len(of_core), -1.0)]
+        if len(of_core) and len(of_rest):
+            far = 2 - 2 * (every[of_rest] @ v.T)
+            nearest = far.argmin(axis=1)
+            least = far[np.arange(len(far)), nearest]
             kept = least <= RADIUS**2
-            out.append(pd.DataFrame({"point": names[~core][kept], "rep": names[core][nearest[kept]], "apart": np.maximum(least[kept], 0).astype(float)}))
-        found = pd.concat(out)
-        return found.assign(group=rows["group"].iloc[0])[["group", "point", "rep", "apart"]]
+            point.append(of_rest[kept])
+            rep.append(of_core[nearest[kept]])
+            apart.append(np.maximum(least[kept], 0).astype(float))
+        point, rep = pa.array(np.concatenate(point)), pa.array(np.concatenate(rep))
+        return pa.table({"group": rows["group"].combine_chunks().take(point), "point": names.take(point), "rep": names.take(rep), "apart": np.concatenate(apart)})
 
     kind = points.schema["group"].dataType.simpleString()
-    found = cut(flagged.groupBy("group", "cell").applyInPandas(run, f"group {kind}, point string, rep string, apart double"))
+    found = cut(spread(flagged).groupBy("group", "cell").applyInArrow(run, f"group {kind}, point string, rep string, apart double"))
     inner = found.filter("apart < 0 AND point <> rep").select("group", "point", "rep").distinct()
     outer = found.filter("apart >= 0").groupBy("group", "point").agg(F.min(F.struct("apart", "rep"))["rep"].alias("rep"))
     return inner.unionByName(outer)
