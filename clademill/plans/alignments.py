@@ -170,7 +170,9 @@ def trim_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return columns.trim_bounds(src.aligned(spark, folder), WINDOW)
 
 
-@query()
+@query(f"""WITH {AL}, {LONG}, {_TRIM}, bd AS (SELECT group_id, min(s) st, max(s) + {WINDOW} en FROM gw GROUP BY 1), sl AS (SELECT lf.* FROM lf LEFT JOIN bd USING (group_id) WHERE st IS NULL OR (pos >= st AND pos < en)),
+    k AS (SELECT group_id, pos FROM sl GROUP BY 1, 2 HAVING count(*) FILTER (ch IN ('N', '-')) <= 0.9 * count(*)), s AS (SELECT sl.group_id, seq_name, string_agg(ch, '' ORDER BY pos) seq FROM sl JOIN k USING (group_id, pos) GROUP BY 1, 2)
+    SELECT al.group_id, al.seq_name, coalesce(s.seq, '') seq FROM al LEFT JOIN s USING (group_id, seq_name)""")
 def trimmed(spark: SparkSession, folder: str) -> DataFrame:
     return columns.trim(src.aligned(spark, folder), WINDOW).select("group_id", "seq_name", "seq")
 
@@ -251,33 +253,45 @@ def singleton_kmers(spark: SparkSession, folder: str) -> DataFrame:
     return kmers.singletons(src.aligned(spark, folder), K, 5)
 
 
-@query(f"""WITH {AL}, {_KM}, {_SINGLE}, bo AS (SELECT group_id, seq_name, seq, length(regexp_extract(seq, '^(.*?)[^-]{{{K}}}', 1)) lo, length(seq) - length(regexp_extract(reverse(seq), '^(.*?)[^-]{{{K}}}', 1)) hi FROM al WHERE regexp_matches(seq, '[^-]{{{K}}}')),
+_DENSE = f"""bo AS (SELECT group_id, seq_name, seq, length(regexp_extract(seq, '^(.*?)[^-]{{{K}}}', 1)) lo, length(seq) - length(regexp_extract(reverse(seq), '^(.*?)[^-]{{{K}}}', 1)) hi FROM al WHERE regexp_matches(seq, '[^-]{{{K}}}')),
     ins AS (SELECT fl.*, seq FROM fl JOIN bo USING (group_id, seq_name) WHERE pos BETWEEN lo AND hi),
-    de AS (SELECT *, count(*) OVER (PARTITION BY group_id, seq_name ORDER BY pos RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING) n FROM ins)
-    SELECT group_id, seq_name, pos::INTEGER lo, (pos + {30 - K})::INTEGER hi FROM de WHERE n > 18 AND NOT contains(substr(seq, (pos + 1)::BIGINT, 30), '-------')""")
+    de AS (SELECT *, count(*) OVER (PARTITION BY group_id, seq_name ORDER BY pos RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING) n FROM ins),
+    dm AS (SELECT group_id, seq_name, pos::INTEGER lo, (pos + {30 - K})::INTEGER hi FROM de WHERE n > 18 AND NOT contains(substr(seq, (pos + 1)::BIGINT, 30), '-------'))"""
+
+
+@query(f"WITH {AL}, {_KM}, {_SINGLE}, {_DENSE} SELECT group_id, seq_name, lo, hi FROM dm")
 def dense_singleton_mask(spark: SparkSession, folder: str) -> DataFrame:
     rows = src.aligned(spark, folder)
     return kmers.dense_masks(kmers.singletons(rows, K, 5), rows, K, 30, 0.6, 7)
 
 
-@query()
+_INSIDE = f"""{AL.replace('al AS (', 'al0 AS (')}, {OUT}, al AS (SELECT group_id, seq_name, taxon, contig, translate(seq, 'N', '-') seq FROM al0 WHERE taxon NOT IN (SELECT taxon FROM og) AND regexp_matches(seq, '[^N-]'))"""
+
+
+@query(f"""WITH {_INSIDE}, {LONG}, {_KM}, {_SINGLE}, {_DENSE}, mk AS (SELECT DISTINCT group_id, seq_name, unnest(range(lo, hi)) pos FROM dm),
+    ms AS (SELECT lf.group_id, lf.seq_name, string_agg(CASE WHEN mk.pos IS NULL THEN ch ELSE 'N' END, '' ORDER BY lf.pos) seq FROM lf LEFT JOIN mk ON mk.group_id = lf.group_id AND mk.seq_name = lf.seq_name AND mk.pos = lf.pos GROUP BY 1, 2)
+    SELECT group_id, seq_name, seq FROM ms WHERE regexp_matches(seq, '[ACGT]') AND length(regexp_replace(seq, '[^N]', '', 'g')) <= 0.95 * length(regexp_replace(seq, '[^ACGT]', '', 'g'))
+    UNION ALL SELECT group_id, seq_name, seq FROM al0 WHERE taxon IN (SELECT taxon FROM og)""")
 def cleaned_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    rows = src.with_outgroup(src.aligned(spark, folder), src.outgroup_taxa(spark, folder))
-    inside = rows.filter("NOT is_outgroup").withColumn("seq", dna.mask_ambiguous(F.col("seq")))
-    masks = kmers.dense_masks(kmers.singletons(inside, K, 5), inside, K, 30, 0.6, 7)
-    done = groups.ambiguity_filter(kmers.masked(inside, masks), 0.95)
-    return done.unionByName(rows.filter("is_outgroup")).select("group_id", "seq_name", "seq")
+    p = config.Clean(window=30, k=K, min_similarity=5)
+    return tools.clean(outgroup_rows(spark, folder), p).select("group_id", "seq_name", "seq")
 
 
-@query(f"""WITH {AL}, {PD}, {_KM}, kc AS (SELECT * FROM km WHERE NOT regexp_matches(kmer, '[N-]')), kn AS (SELECT group_id, pos, kmer FROM kc GROUP BY ALL HAVING count(*) > 1), kg AS (SELECT kc.* FROM kc SEMI JOIN kn USING (group_id, pos, kmer)),
+_SCORES = f"""{_KM}, kc AS (SELECT * FROM km WHERE NOT regexp_matches(kmer, '[N-]')), kn AS (SELECT group_id, pos, kmer FROM kc GROUP BY ALL HAVING count(*) > 1), kg AS (SELECT kc.* FROM kc SEMI JOIN kn USING (group_id, pos, kmer)),
     oft AS (SELECT group_id, seq_name FROM kg GROUP BY 1, 2 HAVING count(*) > 50), hd AS (SELECT kg.* FROM kg SEMI JOIN oft USING (group_id, seq_name)),
-    sc AS (SELECT pd.group_id, a, b, count(*) FILTER (x.kmer = y.kmer) together, count(*) compared FROM pd JOIN hd x ON x.group_id = pd.group_id AND x.seq_name = a JOIN hd y ON y.group_id = pd.group_id AND y.seq_name = b AND y.pos = x.pos GROUP BY 1, 2, 3)
-    SELECT group_id, a, b, together::INTEGER together, compared::INTEGER compared, round(CASE WHEN compared > 50 THEN together / compared ELSE 0.0 END, 6) score FROM sc WHERE together > 0""")
+    sc AS (SELECT pd.group_id, a, b, count(*) FILTER (x.kmer = y.kmer) together, count(*) compared FROM pd JOIN hd x ON x.group_id = pd.group_id AND x.seq_name = a JOIN hd y ON y.group_id = pd.group_id AND y.seq_name = b AND y.pos = x.pos GROUP BY 1, 2, 3),
+    ks AS (SELECT group_id, a, b, together::INTEGER together, compared::INTEGER compared, round(CASE WHEN compared > 50 THEN together / compared ELSE 0.0 END, 6) score FROM sc WHERE together > 0)"""
+
+
+@query(f"WITH {AL}, {PD}, {_SCORES} SELECT group_id, a, b, together, compared, score FROM ks")
 def kmer_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kmers.pair_scores(src.aligned(spark, folder), K, 50, src.pair_distances(spark, folder))
 
 
-@query()
+@query(f"""WITH RECURSIVE {COUNTS}, {OUT}, {_SCORES}, kx AS (SELECT ks.*, overlap, split_part(a, '|', 1) IN (SELECT taxon FROM og) oa, split_part(b, '|', 1) IN (SELECT taxon FROM og) ob FROM ks JOIN ct USING (group_id, a, b)),
+    th AS (SELECT group_id, coalesce(max(score) FILTER (overlap > 300), max(score) FILTER (overlap > 200), max(score) FILTER (overlap > 100), 0.0) t FROM kx WHERE oa <> ob GROUP BY 1),
+    se AS (SELECT kx.group_id, a, b FROM kx LEFT JOIN th USING (group_id) WHERE overlap > {MIN_OVERLAP} AND NOT oa AND NOT ob AND score > coalesce(t, 0.0)), ed AS (SELECT group_id, a, b FROM se UNION SELECT group_id, b, a FROM se),
+    rr(group_id, v, o) AS (SELECT group_id, a, a FROM ed UNION SELECT rr.group_id, rr.v, ed.b FROM rr JOIN ed ON rr.group_id = ed.group_id AND rr.o = ed.a) SELECT group_id, v seq_name, min(o) component FROM rr GROUP BY 1, 2""")
 def similarity_components(spark: SparkSession, folder: str) -> DataFrame:
     rows, listed, out = src.aligned(spark, folder), src.pair_distances(spark, folder), src.outgroup_taxa(spark, folder)
     counts = pairs.pair_counts(listed, rows)
@@ -319,11 +333,13 @@ def best_hits(spark: SparkSession, folder: str) -> DataFrame:
 _CONTIG = sql_name("taxon || '|' || contig")
 
 
-@query(f"""WITH RECURSIVE {HITS}, {_CC}, s AS (SELECT {_CONTIG} nm, max(replace(upper(seq), 'N', '')) seq FROM contigs WHERE seq IS NOT NULL GROUP BY 1)
-    SELECT component group_id, vertex seq_name, seq FROM cc JOIN s ON cc.vertex = s.nm""")
+_TEXTS = f"tx AS (SELECT nm seq_name, max_by(seq, (length(regexp_replace(seq, '[^ACGT]', '', 'g')), seq)) seq FROM (SELECT {_CONTIG} nm, upper(seq) seq FROM contigs WHERE seq IS NOT NULL) WHERE nm IS NOT NULL GROUP BY 1)"
+
+
+@query(f"""WITH RECURSIVE {HITS}, {_CC}, {_TEXTS} SELECT component group_id, vertex seq_name, replace(seq, 'N', '') seq FROM cc JOIN tx ON cc.vertex = tx.seq_name""")
 def component_sequences(spark: SparkSession, folder: str) -> DataFrame:
     members = graph.connected_components(graph.reciprocal(src.hits(spark, folder), 300))
-    seqs = table(spark, folder, "contigs").filter("seq IS NOT NULL").groupBy(names.name_of(F.col("taxon"), F.col("contig")).alias("vertex")).agg(F.max(F.translate(F.upper("seq"), "N", "")).alias("seq"))
+    seqs = contig_texts(spark, folder).select(F.col("seq_name").alias("vertex"), dna.without(F.col("seq"), "N").alias("seq"))
     return members.join(seqs, "vertex").select(F.col("component").alias("group_id"), F.col("vertex").alias("seq_name"), "seq")
 
 
@@ -418,9 +434,11 @@ def path_assembly(spark: SparkSession, folder: str) -> DataFrame:
     return linkage.fragment_paths(src.aligned(spark, folder), 60)
 
 
-@query(f"""WITH {RD}, o AS (SELECT read_name, seq_name, lo, seq, lead(lo) OVER w nlo, lead(seq) OVER w nseq, row_number() OVER w r FROM rd WINDOW w AS (PARTITION BY read_name, seq_name ORDER BY lo, seq)),
-    k AS (SELECT *, nlo - lo - length(seq) ahead FROM o WHERE r = 1), z AS (SELECT read_name, seq_name, lo, CASE WHEN nlo IS NULL THEN seq WHEN ahead >= 0 THEN seq || repeat('-', ahead) || nseq ELSE seq || substr(nseq, (1 - ahead)::BIGINT) END seq FROM k)
-    SELECT read_name, seq_name, lo, (lo + length(seq))::INTEGER hi, seq FROM z""")
+_MATES = f"""o AS (SELECT read_name, seq_name, lo, seq, lead(lo) OVER w nlo, lead(seq) OVER w nseq, row_number() OVER w r FROM rd WINDOW w AS (PARTITION BY read_name, seq_name ORDER BY lo, seq)),
+    k AS (SELECT *, nlo - lo - length(seq) ahead FROM o WHERE r = 1), z AS (SELECT read_name, seq_name, lo, CASE WHEN nlo IS NULL THEN seq WHEN ahead >= 0 THEN seq || repeat('-', ahead) || nseq ELSE seq || substr(nseq, (1 - ahead)::BIGINT) END seq FROM k)"""
+
+
+@query(f"WITH {RD}, {_MATES} SELECT read_name, seq_name, lo, (lo + length(seq))::INTEGER hi, seq FROM z")
 def mate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return reads.mate_pairs(reads.distinct_reads(table(spark, folder, "reads"), names.canonical_name(F.col("seq_name"))))
 
@@ -463,7 +481,16 @@ def snp_validity(spark: SparkSession, folder: str) -> DataFrame:
     return reads.validity(reads.spanning(own, reads.adjacent(snps)), 0.5)
 
 
-@query()
+_PHASED = f"""bs AS (SELECT z.seq_name, read_name, pos, substr(z.seq, (pos - lo + 1)::BIGINT, 1) base FROM z JOIN sv ON sv.seq_name = z.seq_name AND lo <= pos AND lo + length(z.seq) > pos),
+    bc AS (SELECT seq_name, pos, base, count(*) n FROM bs WHERE base IN ('A','C','G','T') GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY seq_name, pos ORDER BY n DESC, base) <= 2),
+    tw AS (SELECT seq_name, pos, min(base) b0, max(base) b1 FROM bc GROUP BY 1, 2 HAVING count(*) = 2), tn AS (SELECT *, lead(pos) OVER (PARTITION BY seq_name ORDER BY pos) np FROM tw),
+    cl AS (SELECT bs.seq_name, read_name, bs.pos, np, base = b1 side FROM bs JOIN tn ON tn.seq_name = bs.seq_name AND tn.pos = bs.pos AND base IN (b0, b1)),
+    vt AS (SELECT p.seq_name, p.np pos, sum(CASE WHEN p.side = q.side THEN 1 ELSE -1 END) v FROM cl p JOIN cl q ON q.seq_name = p.seq_name AND q.read_name = p.read_name AND q.pos = p.np GROUP BY 1, 2),
+    tu AS (SELECT tw.*, sum(CASE WHEN v < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY tw.seq_name ORDER BY tw.pos) % 2 t FROM tw LEFT JOIN vt ON vt.seq_name = tw.seq_name AND vt.pos = tw.pos),
+    ph AS (SELECT seq_name, pos, 0 allele, CASE WHEN t = 0 THEN b0 ELSE b1 END base FROM tu UNION ALL SELECT seq_name, pos, 1, CASE WHEN t = 0 THEN b1 ELSE b0 END FROM tu)"""
+
+
+@query(f"WITH {PILE}, {_MATES}, {_PHASED} SELECT seq_name, pos::INTEGER pos, allele::INTEGER allele, base FROM ph")
 def phased_bases(spark: SparkSession, folder: str) -> DataFrame:
     own, snps = piled(spark, folder)
     return reads.phase(reads.mate_pairs(own), snps)
@@ -493,13 +520,19 @@ def shared_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.shared_neighbours(listed, pairs.nearest(listed, 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARA}, {_CP[len(f"{AL}, {PD}, "):]}, zs AS (SELECT group_id, component, count(*) n FROM mb GROUP BY 1, 2), bp AS (SELECT group_id, a x, b y FROM kd WHERE kind = 'paralogs' UNION ALL SELECT group_id, b, a FROM kd WHERE kind = 'paralogs'),
+    hp AS (SELECT bp.group_id, p.component cx, q.component cy, count(DISTINCT x) k FROM bp JOIN mb p ON p.group_id = bp.group_id AND p.seq_name = x JOIN mb q ON q.group_id = bp.group_id AND q.seq_name = y WHERE p.component <> q.component GROUP BY 1, 2, 3)
+    SELECT hp.group_id, least(cx, cy) c1, greatest(cx, cy) c2, round(max(k / n), 6) score FROM hp JOIN zs ON zs.group_id = hp.group_id AND zs.component = cx GROUP BY 1, 2, 3""")
 def paralogy_scores(spark: SparkSession, folder: str) -> DataFrame:
     barred = classified(spark, folder).filter("kind = 'paralogs'").select("group_id", "a", "b")
     return pairs.paralogy(close_components(spark, folder), barred)
 
 
-@query()
+@query(f"""WITH {PILE}, {_MATES}, {_PHASED}, {_TEXTS}, rc AS (SELECT seq_name, seq FROM target_loci UNION ALL SELECT seq_name, seq FROM tx WHERE seq_name NOT IN (SELECT seq_name FROM target_loci)),
+    al2 AS (SELECT rc.seq_name, allele, seq FROM rc JOIN (SELECT DISTINCT seq_name, allele FROM ph) p ON p.seq_name = rc.seq_name),
+    lt AS (SELECT seq_name, allele, i - 1 pos, substr(seq, i::BIGINT, 1) ch FROM (SELECT *, unnest(range(1, length(seq) + 1)) i FROM al2)),
+    st AS (SELECT lt.seq_name, lt.allele, string_agg(coalesce(base, ch), '' ORDER BY lt.pos) seq FROM lt LEFT JOIN ph ON ph.seq_name = lt.seq_name AND ph.allele = lt.allele AND ph.pos = lt.pos GROUP BY 1, 2)
+    SELECT seq_name || '_allele_' || allele seq_name, regexp_replace(seq, '[n-]', '', 'g') seq FROM st UNION ALL SELECT seq_name, regexp_replace(seq, '[n-]', '', 'g') FROM rc WHERE seq_name NOT IN (SELECT seq_name FROM ph)""")
 def phased_sequences(spark: SparkSession, folder: str) -> DataFrame:
     own, snps = piled(spark, folder)
     loci = table(spark, folder, "target_loci").select("seq_name", "seq")
@@ -508,21 +541,30 @@ def phased_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contig_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """``seq_name, seq``: of the rows of one name the text that sorts last."""
+    """``seq_name, seq``: of the rows of one name the text with most letters ACGT, of equally full ones the one that sorts last."""
     rows = table(spark, folder, "contigs").filter("seq IS NOT NULL").select(names.name_of(F.col("taxon"), F.col("contig")).alias("seq_name"), F.upper("seq").alias("seq"))
-    return rows.filter("seq_name IS NOT NULL").groupBy("seq_name").agg(F.max("seq").alias("seq"))
+    letters = F.length(F.regexp_replace("seq", "[^ACGT]", ""))
+    return rows.filter("seq_name IS NOT NULL").groupBy("seq_name").agg(F.max(F.struct(letters, "seq"))["seq"].alias("seq"))
 
 
 def outgroup_rows(spark: SparkSession, folder: str) -> DataFrame:
     return src.with_outgroup(src.aligned(spark, folder), src.outgroup_taxa(spark, folder))
 
 
-@query()
+@query(f"""WITH RECURSIVE h0 AS (SELECT {sql_name('a')} a, {sql_name('b')} b, align_len, evalue FROM common_hits),
+    hb AS (SELECT a, b, min(evalue) e, max(align_len) l FROM h0 WHERE a <> b AND evalue <= 1e-50 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY e NULLS LAST, l DESC NULLS LAST, b) <= 10),
+    re AS (SELECT least(a, b) a, greatest(a, b) b FROM hb h WHERE l > 300 GROUP BY 1, 2 HAVING bool_or(h.a < h.b) AND bool_or(h.a > h.b)), {_CC}, {_TEXTS},
+    n AS (SELECT component, count(DISTINCT split_part(vertex, '|', 1)) n_taxa FROM cc GROUP BY 1)
+    SELECT cc.component group_id, vertex seq_name, replace(seq, 'N', '') seq, n_taxa > 1 kept FROM cc JOIN n ON n.component = cc.component JOIN tx ON tx.seq_name = vertex""")
 def primary_groups(spark: SparkSession, folder: str) -> DataFrame:
     return tools.primary(src.hits(spark, folder), contig_texts(spark, folder), config.Primary(max_evalue=1e-50))
 
 
-@query()
+@query(f"""WITH RECURSIVE {AL}, rt AS (SELECT group_id, CASE WHEN count(*) > 20 THEN 'failed' ELSE 'passed' END route FROM al GROUP BY 1), h0 AS (SELECT {sql_name('a')} a, {sql_name('b')} b, align_len, evalue FROM common_hits),
+    sh AS (SELECT DISTINCT a, b FROM h0 WHERE a <> b AND evalue <= 1e-100 AND align_len > 400), fd AS (SELECT group_id, seq_name FROM al JOIN rt USING (group_id) WHERE route = 'failed'),
+    e1 AS (SELECT x.group_id, a, b FROM sh JOIN fd x ON x.seq_name = a JOIN fd y ON y.seq_name = b AND y.group_id = x.group_id), ed AS (SELECT * FROM e1 UNION SELECT group_id, b, a FROM e1),
+    rr(group_id, v, o) AS (SELECT group_id, a, a FROM ed UNION SELECT rr.group_id, rr.v, ed.b FROM rr JOIN ed ON rr.group_id = ed.group_id AND rr.o = ed.a), pt AS (SELECT group_id, v seq_name, min(o) c FROM rr GROUP BY 1, 2)
+    SELECT al.group_id, CASE WHEN route = 'passed' THEN al.group_id ELSE coalesce(c, al.seq_name) END subgroup, al.seq_name, replace(seq, '-', '') seq, route FROM al JOIN rt USING (group_id) LEFT JOIN pt ON pt.group_id = al.group_id AND pt.seq_name = al.seq_name""")
 def secondary_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows = src.aligned(spark, folder).select("group_id", "seq_name", "seq")
     return tools.secondary(rows, src.hits(spark, folder), config.Secondary(max_size=20, min_align_len=400, max_evalue=1e-100))
