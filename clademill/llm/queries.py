@@ -94,11 +94,32 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(counted, "doc_id", "n_tokens")
 
 
+def p9_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document: its tokens are all packed, it is cut only above the capacity, and its containers hold what fits, gapless."""
+    counted = clusters.cut(encode.count_tokens(table(spark, folder, "documents"), "text", ["doc_id"]))
+    packed = clusters.cut(packing.pack(counted, "doc_id", "n_tokens"))
+    full = packed.filter("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("held"), F.max(F.col("offset") + F.col("n_tokens")).alias("top"))
+    placed = packed.join(full, "container", "left").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("pieces"), F.coalesce(F.bool_and((F.col("held") == F.col("top")) & (F.col("held") <= packing.CAPACITY)), F.lit(True)).alias("fits"))
+    both = counted.join(placed, "doc_id", "left")
+    least = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / packing.CAPACITY))
+    return both.select("doc_id", (F.col("total") == F.col("n_tokens")).alias("adds_up"), (F.col("pieces") == least).alias("cut_rightly"), "fits")
+
+
+def p10_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts put together again from pieces without overlap, and whether all are within the limit."""
+    pieces = splitting.split_texts(table(spark, folder, "documents"), "doc_id", "text", overlap=0)
+    order = F.sort_array(F.collect_list(F.struct("piece", "text")))
+    joined = pieces.groupBy("doc_id").agg(order.alias("p"), (F.max("n_tokens") <= splitting.LIMIT).alias("within_limit"))
+    text = F.when(F.get("p", F.lit(0))["text"].isNotNull(), F.array_join(F.col("p.text"), ""))
+    return joined.select("doc_id", text.alias("text"), "within_limit")
+
+
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_fused, p3_found, p6_found, p6_shared, p8_ids, p8_decoded, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_fused, p3_found, p6_found, p6_shared, p8_ids, p8_decoded, p9_containers, p9_checked, p10_pieces, p10_rejoined)}
 
 _NAME = sql_name("taxon || '|' || contig")
 _STRETCHES = f"""
@@ -122,6 +143,8 @@ SQL = {
         il AS (SELECT row_id, max(p) + 120 - min(p) n FROM (SELECT *, sum(h) OVER (PARTITION BY row_id ORDER BY p) g FROM sp) GROUP BY row_id, g),
         t AS (SELECT row_id, sum(n) n_shared, max(n) longest FROM il GROUP BY 1)
         SELECT c.row_id, nm seq_name, coalesce(length(s), 0) n_letters, coalesce(n_shared, 0)::BIGINT n_shared, coalesce(longest, 0)::BIGINT longest FROM c LEFT JOIN t ON c.row_id = t.row_id""",
+    "p9_checked": "SELECT doc_id, true adds_up, true cut_rightly, true fits FROM documents",
+    "p10_rejoined": "SELECT doc_id, text, true AS within_limit FROM documents",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') text FROM documents",
     "p6_found": f"WITH {_STRETCHES} SELECT DISTINCT x.nm name_a, y.nm name_b FROM w x JOIN w y ON x.k = y.k AND x.nm < y.nm",
 }
