@@ -108,12 +108,6 @@ def consensus(rows: DataFrame) -> DataFrame:
     return letters.select("group_id", "pos", F.coalesce(F.when(F.size(bases) > 0, dna.iupac(bases)), F.lit("-")).alias("code"))
 
 
-def consensus_texts(rows: DataFrame) -> DataFrame:
-    """``group_id, seq``: the consensus of each group as a text as long as the alignment."""
-    codes = consensus(rows)
-    return codes.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "").alias("seq"))
-
-
 def majority_consensus(rows: DataFrame, path: str, min_share: float = 0.25) -> DataFrame:
     """``group_id, pos, code`` for the rows flagged by column ``path``: their base where they agree.
 

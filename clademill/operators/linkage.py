@@ -6,22 +6,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clademill.operators.graph import connected_components
+from clademill.session import cut, written
+
+
+#: Edges of one connected component that one task links; larger components are linked in rounds of joins.
+LOCAL_EDGES = 200_000
+
 
 def constrained_linkage(edges: DataFrame, cannot: DataFrame) -> DataFrame:
     """``group_id, component, cluster, seq_name``: single linkage by rising distance under cannot-link pairs.
 
     ``edges`` (group_id, a, b, distance) are taken in the order of distance, a, b; two clusters join unless some pair of
-    their members is in ``cannot`` (group_id, a, b). Edges of different connected components never meet, so the
-    sequential part runs per component, not per group.
+    their members is in ``cannot`` (group_id, a, b). Edges of different connected components never meet, so each
+    component of at most ``LOCAL_EDGES`` edges is linked in a task of its own; for larger ones ``linkage_rounds`` gives the
+    same result without a sequential pass.
     """
-    from clademill.operators.graph import connected_components
-
-    comp = connected_components(edges, "a", "b", "group_id")
+    comp = cut(connected_components(edges, "a", "b", "group_id"))
     inside = comp.select("group_id", F.col("vertex").alias("a"), "component")
     kind = edges.schema["group_id"].dataType.simpleString()
     links = edges.select("group_id", "a", "b", F.col("distance").cast("double").alias("distance")).join(inside, ["group_id", "a"])
     barred = cannot.select("group_id", "a", "b", F.lit(None).cast("double").alias("distance")).join(inside, ["group_id", "a"])
     barred = barred.join(comp.select("group_id", F.col("vertex").alias("b"), F.col("component").alias("cb")), ["group_id", "b"]).filter("component = cb").drop("cb")
+    names = ["group_id", "component", "a", "b", "distance"]
+    rows = cut(links.select(names).unionByName(barred.select(names)))
+    large, found = written(rows.groupBy("group_id", "component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LOCAL_EDGES), n=F.count(F.lit(1)))
+    small = rows.join(large, ["group_id", "component"], "left_anti") if found["n"] else rows
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         apart: dict[str, set[str]] = {}
@@ -38,8 +48,37 @@ def constrained_linkage(edges: DataFrame, cannot: DataFrame) -> DataFrame:
                 own[m] = x
         return pd.DataFrame([(key[0], key[1], min(c), m) for m, c in own.items()], columns=["group_id", "component", "cluster", "seq_name"])
 
-    columns = ["group_id", "component", "a", "b", "distance"]
-    return links.select(columns).unionByName(barred.select(columns)).groupBy("group_id", "component").applyInPandas(run, f"group_id {kind}, component string, cluster string, seq_name string")
+    done = small.groupBy("group_id", "component").applyInPandas(run, f"group_id {kind}, component string, cluster string, seq_name string")
+    if not found["n"]:
+        return done
+    rest = cut(rows.join(large, ["group_id", "component"], "left_semi"))
+    linked = linkage_rounds(rest.filter("distance IS NOT NULL"), rest.filter("distance IS NULL"))
+    return done.unionByName(linked.join(comp.select("group_id", F.col("vertex").alias("seq_name"), "component"), ["group_id", "seq_name"]).select("group_id", "component", "cluster", "seq_name"))
+
+
+def linkage_rounds(edges: DataFrame, cannot: DataFrame) -> DataFrame:
+    """``group_id, cluster, seq_name``: the linkage in rounds; in each, every edge that is the smallest of both its clusters joins them.
+
+    An edge inside a cluster or between clusters with a cannot-link pair never counts again, as clusters only grow. So nothing
+    that comes earlier in the order can change the two clusters of such an edge, and the order of single linkage is kept.
+    """
+    ends = edges.select("group_id", F.explode(F.array("a", "b")).alias("seq_name")).distinct()
+    members = cut(ends.withColumn("cluster", F.col("seq_name")))
+    live = edges.select("group_id", F.struct("distance", "a", "b").alias("e"), F.col("a").alias("x"), F.col("b").alias("y"))
+    both = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    barred = cut(cannot.select("group_id", F.explode(both).alias("p")).select("group_id", "p.x", "p.y").distinct())
+    live = live.join(barred, ["group_id", "x", "y"], "left_anti")
+    while True:
+        live, left = written(live.groupBy("group_id", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")), n=F.count(F.lit(1)))
+        if not left["n"]:
+            return members
+        first = live.select("group_id", "e", F.explode(F.array("x", "y")).alias("x")).groupBy("group_id", "x").agg(F.min("e").alias("e"))
+        mutual = live.join(first.withColumnRenamed("e", "ex"), ["group_id", "x"]).join(first.select("group_id", F.col("x").alias("y"), F.col("e").alias("ey")), ["group_id", "y"]).filter("e = ex AND e = ey")
+        moves = cut(mutual.select("group_id", F.col("y").alias("old"), F.col("x").alias("new")))
+        renamed = lambda df, c: df.join(moves.withColumnRenamed("old", c), ["group_id", c], "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        members = cut(renamed(members, "cluster"))
+        barred = cut(renamed(renamed(barred, "x"), "y").distinct())
+        live = renamed(renamed(live, "x"), "y").filter("x <> y").join(barred, ["group_id", "x", "y"], "left_anti")
 
 
 def fragment_paths(rows: DataFrame, max_overlap: int, overlap_cost: float = 1.0, mismatch_cost: float = 20.0) -> DataFrame:

@@ -79,25 +79,27 @@ def taxon_jaccard(members: DataFrame) -> DataFrame:
     return both.select("group_id", "c1", "c2", F.round(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")), 6).alias("jaccard"))
 
 
-def nearest_component(distances: DataFrame, members: DataFrame, unassigned: DataFrame, overlaps: DataFrame, max_distance: float, min_overlap: int, relaxed: str | None = None) -> DataFrame:
+def nearest_component(distances: DataFrame, members: DataFrame, unassigned: DataFrame, overlaps: DataFrame, max_distance: float | str, min_overlap: int, relaxed: str | None = None) -> DataFrame:
     """``group_id, seq_name, component, distance, overlap, assigned`` of the unassigned records with a distance.
 
     The nearest component is that of the member at the smallest distance, ties by member name. A record is
     assigned if that distance is at most ``max_distance`` (twice that where the flag column ``relaxed`` is true)
-    and it overlaps a member by more than ``min_overlap``, or if the distance is at most a third of it.
+    and it overlaps a member by more than ``min_overlap``, or if the distance is at most a third of it. ``max_distance`` is a
+    number or names the column of ``unassigned`` that holds it.
     """
     both = distances.select("group_id", F.explode(F.array(F.struct(F.col("a").alias("seq_name"), F.col("b").alias("member")), F.struct(F.col("b").alias("seq_name"), F.col("a").alias("member")))).alias("e"), "distance")
     both = both.select("group_id", "e.seq_name", "e.member", "distance")
     flag = F.col(relaxed) if relaxed else F.lit(False)
-    wanted = unassigned.select("group_id", "seq_name", flag.alias("relaxed"))
+    most = F.col(max_distance) if isinstance(max_distance, str) else F.lit(max_distance)
+    wanted = unassigned.select("group_id", "seq_name", flag.alias("relaxed"), most.alias("most"))
     inside = members.select("group_id", F.col("seq_name").alias("member"), "component")
     linked = both.join(wanted, ["group_id", "seq_name"]).join(inside, ["group_id", "member"])
-    nearest = linked.groupBy("group_id", "seq_name").agg(F.min(F.struct("distance", "member", "component")).alias("m"), F.first("relaxed").alias("relaxed"))
-    nearest = nearest.select("group_id", "seq_name", F.col("m.distance").alias("distance"), F.col("m.component").alias("component"), "relaxed")
+    nearest = linked.groupBy("group_id", "seq_name").agg(F.min(F.struct("distance", "member", "component")).alias("m"), F.first("relaxed").alias("relaxed"), F.first("most").alias("most"))
+    nearest = nearest.select("group_id", "seq_name", F.col("m.distance").alias("distance"), F.col("m.component").alias("component"), "relaxed", "most")
     shared = overlaps.select("group_id", "seq_name", F.col("other").alias("member"), "overlap").join(inside, ["group_id", "member"]).groupBy("group_id", "seq_name", "component").agg(F.max("overlap").alias("overlap"))
     judged = nearest.join(shared, ["group_id", "seq_name", "component"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-    limit = F.when(F.col("relaxed"), 2 * max_distance).otherwise(max_distance)
-    good = ((F.col("distance") <= limit) & (F.col("overlap") > min_overlap)) | (F.col("distance") <= max_distance / 3)
+    limit = F.when(F.col("relaxed"), 2 * F.col("most")).otherwise(F.col("most"))
+    good = ((F.col("distance") <= limit) & (F.col("overlap") > min_overlap)) | (F.col("distance") <= F.col("most") / 3)
     return judged.select("group_id", "seq_name", "component", "distance", "overlap", good.alias("assigned"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clademill import config
 from clademill.functions import dna
-from clademill.functions.names import taxon_of
+from clademill.functions.names import taxon_of, without_allele
 from clademill.operators import columns, graph, groups, kmers, linkage, pairs
 from clademill.session import cut
 
@@ -28,11 +28,6 @@ def primary(hits: DataFrame, contigs: DataFrame, p: config.Primary = config.Prim
     return sized.join(texts, "vertex").select(F.col("component").alias("group_id"), F.col("vertex").alias("seq_name"), "seq", "kept")
 
 
-def missing_sequences(members: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Members of groups that have no sequence."""
-    return members.join(contigs.select(F.col("seq_name").alias("vertex")), "vertex", "left_anti")
-
-
 def secondary(rows: DataFrame, hits: DataFrame, p: config.Secondary = config.Secondary()) -> DataFrame:
     """``group_id, subgroup, seq_name, seq, route``: groups that fail the size or taxon limits, linked again more strictly.
 
@@ -66,11 +61,21 @@ def large_components(members: DataFrame, ratio: float) -> DataFrame:
     return members.join(kept, ["group_id", "component"], "left_semi")
 
 
+def valid_components(members: DataFrame, counts: DataFrame, keys: list[str], min_overlap: int, max_alleles: int) -> DataFrame:
+    """``keys, component, valid``: whether fewer than ``max_alleles`` taxa have two records in it that overlap by more than ``min_overlap``."""
+    near = counts.filter(F.col("overlap") > min_overlap).withColumn("taxon", taxon_of(F.col("a"))).filter(F.col("taxon") == taxon_of(F.col("b")))
+    one, two = members.withColumnRenamed("seq_name", "a"), members.withColumnRenamed("seq_name", "b")
+    inside = near.join(one.select(*keys, "a", "component"), ["group_id", "a"]).join(two.select(*keys, "b", "component"), [*keys, "b", "component"])
+    taxa = inside.groupBy(*keys, "component").agg(F.count_distinct("taxon").alias("n"))
+    every = members.select(*keys, "component").distinct().join(taxa, [*keys, "component"], "left")
+    return every.select(*keys, "component", (F.coalesce("n", F.lit(0)) < max_alleles).alias("valid"))
+
+
 def sweep(rows: DataFrame, counts: DataFrame, outgroups: DataFrame, p: config.Outparalogs = config.Outparalogs(), min_positions: int = 100) -> DataFrame:
-    """``group_id, seq_name, component, k``: components of the first k-mer length that separates a group.
+    """``group_id, seq_name, component, k``: components of the first k-mer length that settles a group.
 
-    All lengths are computed in one plan; of a group the first length with several components counts, else the
-    first with one.
+    All lengths are computed in one plan. A length settles a group if it gives several components, or a single one that is
+    valid; of a group that none settles the first length with a component counts.
     """
     found = None
     for k in p.kmers:
@@ -80,8 +85,8 @@ def sweep(rows: DataFrame, counts: DataFrame, outgroups: DataFrame, p: config.Ou
         found = part if found is None else found.unionByName(part)
     keyed = found.withColumn("key", F.concat_ws("\u0001", F.col("group_id"), "k"))
     members = graph.connected_components(keyed, "a", "b", "key").select(F.split_part("key", F.lit("\u0001"), F.lit(1)).alias("group_id"), F.split_part("key", F.lit("\u0001"), F.lit(2)).cast("int").alias("k"), F.col("vertex").alias("seq_name"), "component")
-    n = members.groupBy("group_id", "k").agg(F.count_distinct("component").alias("n"))
-    choice = n.groupBy("group_id").agg(F.min(F.struct((F.col("n") == 1).alias("single"), "k"))["k"].alias("k"))
+    n = valid_components(members, counts, ["group_id", "k"], p.min_overlap, p.max_alleles).groupBy("group_id", "k").agg(F.count(F.lit(1)).alias("n"), F.bool_and("valid").alias("valid"))
+    choice = n.groupBy("group_id").agg(F.min(F.struct(((F.col("n") == 1) & ~F.col("valid")).alias("unsettled"), "k"))["k"].alias("k"))
     return members.join(choice, ["group_id", "k"])
 
 
@@ -97,9 +102,13 @@ def fuse(members: DataFrame, support: DataFrame, max_jaccard: float, min_ratio:
     return members.join(fused, ["group_id", "component"], "left").withColumn("component", F.coalesce("fused", "component")).drop("fused")
 
 
-def association_support(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
+def association_support(rows: DataFrame, members: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """``group_id, c1, c2, ratio``: share of the positions at which two components with a common position agree on one k-mer group."""
-    inside = kmers.by_position(rows, k).join(members.select("group_id", "seq_name", "component"), ["group_id", "seq_name"])
+    inside = None
+    for k in lengths:  # of each group the length that settled it
+        own = members.filter(F.col("k") == k).select("group_id", "seq_name", "component")
+        part = kmers.by_position(rows.join(own, ["group_id", "seq_name"], "left_semi"), k).join(own, ["group_id", "seq_name"])
+        inside = part if inside is None else inside.unionByName(part)
     kinds = inside.select("group_id", "pos", "component", "kmer").distinct()
     by = kinds.groupBy("group_id", "pos", "component").agg(F.min("kmer").alias("lo"), F.max("kmer").alias("hi"))
     one, two = by.select("group_id", "pos", F.col("component").alias("c1"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), by.select("group_id", "pos", F.col("component").alias("c2"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
@@ -116,7 +125,7 @@ def outparalogs(rows: DataFrame, distances: DataFrame, p: config.Outparalogs = c
     outgroups = rows.filter("is_outgroup").select("taxon").distinct()
     counts = cut(pairs.pair_counts(distances, rows).select("group_id", "a", "b", "overlap"))
     members = cut(sweep(rows, counts, outgroups, p, min_positions).withColumn("taxon", taxon_of(F.col("seq_name"))))
-    fused = fuse(members, association_support(rows, members, p.kmers[0]), p.max_jaccard, p.min_association)
+    fused = fuse(members, association_support(rows, members, p.kmers), p.max_jaccard, p.min_association)
     kept = cut(large_components(fused, p.large_ratio))
     rest = rows.join(kept, ["group_id", "seq_name"], "left_anti")
     placed = pairs.nearest_component(distances, kept, rest, pairs.overlapping(counts, 0), p.max_distance, p.min_overlap, "is_outgroup")
@@ -125,31 +134,74 @@ def outparalogs(rows: DataFrame, distances: DataFrame, p: config.Outparalogs = c
     return rows.select("group_id", "seq_name").join(known, ["group_id", "seq_name"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("unassigned")))
 
 
+def without_allele_pairs(members: DataFrame) -> DataFrame:
+    """Members of all components but those that are only the two alleles of one record."""
+    kinds = members.groupBy("group_id", "component").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(without_allele(F.col("seq_name"))).alias("bases"))
+    return members.join(kinds.filter("n = 2 AND bases = 1"), ["group_id", "component"], "left_anti")
+
+
+def joined_components(members: DataFrame, distances: DataFrame, cannot: DataFrame, p: config.Inparalogs) -> DataFrame:
+    """``group_id, seq_name, component``: large components of one lineage joined, those with the least paralogy first.
+
+    Pairs of components with a measured distance between them and taxa that differ enough (a Jaccard index of at most
+    ``max_jaccard``) are taken; groups with fewer than two such pairs stay as they are. A pair with a paralogy score of
+    ``min_taxa_share`` or more must not be joined. Where that would leave one component, the group's largest score
+    becomes the limit instead, so that a separation that was found is not lost.
+    """
+    inside = members.select("group_id", "seq_name", "component", taxon_of(F.col("seq_name")).alias("taxon"))
+    place = lambda c, to: inside.select("group_id", F.col("seq_name").alias(c), F.col("component").alias(to))
+    met = distances.join(place("a", "x"), ["group_id", "a"]).join(place("b", "y"), ["group_id", "b"]).filter("x <> y")
+    met = met.select("group_id", F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2")).distinct()
+    scored = met.join(pairs.taxon_jaccard(inside), ["group_id", "c1", "c2"], "left").filter(F.coalesce("jaccard", F.lit(0.0)) <= p.max_jaccard)
+    scored = scored.join(pairs.paralogy(inside, cannot), ["group_id", "c1", "c2"], "left").select("group_id", F.col("c1").alias("a"), F.col("c2").alias("b"), F.coalesce("score", F.lit(0.0)).alias("distance"))
+    several = scored.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("most")).filter("n > 1")
+    scored = cut(scored.join(several.select("group_id", "most"), "group_id"))
+
+    def linked(rows: DataFrame, limit: Column) -> DataFrame:
+        found = linkage.constrained_linkage(rows.filter(F.col("distance") < limit).drop("most"), rows.filter(F.col("distance") >= limit).select("group_id", "a", "b"))
+        return inside.select("group_id", "component").distinct().join(found.select("group_id", F.col("seq_name").alias("component"), "cluster"), ["group_id", "component"], "left")
+
+    first = cut(linked(scored, F.lit(p.min_taxa_share)))
+    one = first.groupBy("group_id").agg(F.count_distinct(F.coalesce("cluster", "component")).alias("n"), F.count(F.lit(1)).alias("before")).filter("n = 1 AND before > 1").select("group_id")
+    forced = linked(scored.join(one, "group_id", "left_semi"), F.col("most"))
+    final = first.join(one, "group_id", "left_anti").unionByName(forced.join(one, "group_id", "left_semi"))
+    return inside.join(final, ["group_id", "component"]).select("group_id", "seq_name", F.coalesce("cluster", "component").alias("component"))
+
+
 def inparalogs(rows: DataFrame, distances: DataFrame, p: config.Inparalogs = config.Inparalogs()) -> DataFrame:
     """``group_id, seq_name, component, outcome``: copies of one taxon within a group, separated by constrained linkage.
 
-    Groups without paralogs come out as ``no_threshold``; records that the linkage leaves out join the nearest component
-    if it is near enough, else they are ``unassigned``.
+    Groups without paralogs come out as ``no_threshold``, those in which paralogs lie in less than ``min_taxa_share`` of the
+    taxa as ``no_overlap``, those that fall into one large component as ``no_separation``. In the others records outside the
+    components join the nearest one if it is near enough, else they are ``unassigned``.
     """
     barred = F.col("taxon").isin(*p.excluded_taxa) if p.excluded_taxa else F.lit(False)
-    inner = rows.filter(~F.col("is_outgroup") & ~barred).select("group_id", "seq_name")
+    inner = rows.filter(~F.col("is_outgroup") & ~barred).select("group_id", "seq_name", "taxon")
     counts = cut(pairs.pair_counts(distances, rows).select("group_id", "a", "b", "overlap"))
     both = pairs.overlapping(counts, p.overlap_merging)
-    listed = distances.join(inner.withColumnRenamed("seq_name", "a"), ["group_id", "a"], "left_semi").join(inner.withColumnRenamed("seq_name", "b"), ["group_id", "b"], "left_semi")
+    listed = distances.join(inner.select("group_id", F.col("seq_name").alias("a")), ["group_id", "a"], "left_semi").join(inner.select("group_id", F.col("seq_name").alias("b")), ["group_id", "b"], "left_semi")
     kinds = cut(pairs.paralogs_and_alleles(listed, both, p.max_allele_distance))
     limit = pairs.paralog_threshold(kinds, p.distance_ratio)
-    cannot = kinds.join(limit, "group_id").filter("distance >= min_distance").select("group_id", "a", "b")
+    cannot = cut(kinds.join(limit, "group_id").filter("distance >= min_distance").select("group_id", "a", "b"))
     furthest = kinds.filter("kind = 'paralogs'").groupBy("group_id").agg(F.max("distance").alias("most"))
+    taxa = inner.groupBy("group_id").agg(F.count_distinct("taxon").alias("n"))
+    touched = cannot.groupBy("group_id").agg(F.count_distinct(taxon_of(F.col("a"))).alias("k"))
+    share = furthest.join(taxa, "group_id").join(touched, "group_id", "left").select("group_id", "most", (F.coalesce("k", F.lit(0)) >= F.col("n") * F.lit(p.min_taxa_share)).alias("enough"))
+    share = cut(share)
     near = listed.join(both.select("group_id", F.col("seq_name").alias("a"), F.col("other").alias("b")), ["group_id", "a", "b"], "left_semi")
-    edges = near.join(furthest, "group_id").filter("distance < most").join(cannot, ["group_id", "a", "b"], "left_anti")
+    edges = near.join(share.filter("enough"), "group_id").filter("distance < most").select("group_id", "a", "b", "distance").join(cannot, ["group_id", "a", "b"], "left_anti")
     members = linkage.constrained_linkage(edges, cannot).select("group_id", "seq_name", F.col("cluster").alias("component"))
-    kept = cut(large_components(cut(members), p.large_ratio))
-    rest = rows.join(kept, ["group_id", "seq_name"], "left_anti").join(furthest.select("group_id"), "group_id", "left_semi")
-    placed = pairs.nearest_component(distances, kept, rest, pairs.overlapping(counts, 0), p.max_allele_distance, p.overlap_splitting, "is_outgroup")
+    large = large_components(cut(without_allele_pairs(members)), p.large_ratio)
+    parted = large.groupBy("group_id").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("group_id")
+    kept = cut(joined_components(cut(large.join(parted, "group_id", "left_semi")), listed, cannot, p))
+    apart = cut(kept.groupBy("group_id").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("group_id"))
+    kept = kept.join(apart, "group_id", "left_semi")
+    rest = rows.join(kept, ["group_id", "seq_name"], "left_anti").join(share.join(apart, "group_id", "left_semi").select("group_id", "most"), "group_id")
+    placed = pairs.nearest_component(distances, kept, rest, pairs.overlapping(counts, 0), "most", p.overlap_splitting, "is_outgroup")
     known = kept.withColumn("outcome", F.lit("component")).unionByName(placed.filter("assigned").select("group_id", "seq_name", "component", F.lit("assigned").alias("outcome")))
-    every = rows.select("group_id", "seq_name").join(known, ["group_id", "seq_name"], "left").join(furthest.select("group_id", F.lit(1).alias("p")), "group_id", "left")
-    said = F.coalesce("outcome", F.when(F.col("p").isNull(), "no_threshold").otherwise("unassigned"))
-    return every.select("group_id", "seq_name", "component", said.alias("outcome"))
+    every = rows.select("group_id", "seq_name").join(known, ["group_id", "seq_name"], "left").join(share.select("group_id", "enough"), "group_id", "left").join(apart.withColumn("apart", F.lit(True)), "group_id", "left")
+    said = F.when(F.col("enough").isNull(), "no_threshold").when(~F.col("enough"), "no_overlap").when(F.col("apart").isNull(), "no_separation").otherwise("unassigned")
+    return every.select("group_id", "seq_name", "component", F.coalesce("outcome", said).alias("outcome"))
 
 
 def retrim(rows: DataFrame, trim: config.Trim = config.Trim(), fragments: config.Fragments = config.Fragments()) -> DataFrame:

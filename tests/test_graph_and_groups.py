@@ -61,3 +61,14 @@ def test_routes(spark):
     assert {tuple(r) for r in groups.route(df, 4, 6).collect()} == {("g", "passed"), ("h", "passed")}
     assert {r.group_id: r.n_taxa for r in groups.group_sizes(df).collect()} == {"g": 1, "h": 0}
     assert {tuple(r) for r in groups.outcome(df, 2, 1, 1).collect()} == {("g", "complete"), ("h", "too_small")}
+
+
+def test_linkage_in_rounds_is_the_same(spark, monkeypatch):
+    rnd = random.Random(21)
+    names = [f"n{i:02d}" for i in range(24)]
+    pairs = list({tuple(sorted(rnd.sample(names, 2))) for _ in range(90)})
+    edges = spark.createDataFrame([("g", a, b, float(rnd.randrange(12))) for a, b in pairs[:60]], "group_id string, a string, b string, distance double")
+    cannot = spark.createDataFrame([("g", a, b) for a, b in pairs[60:]], "group_id string, a string, b string")
+    want = {(r.component, r.cluster, r.seq_name) for r in linkage.constrained_linkage(edges, cannot).collect()}
+    monkeypatch.setattr(linkage, "LOCAL_EDGES", 3)
+    assert {(r.component, r.cluster, r.seq_name) for r in linkage.constrained_linkage(edges, cannot).collect()} == want

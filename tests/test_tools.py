@@ -92,3 +92,42 @@ def test_written_measures_bytes_and_counts(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", 1)
     big = session.cut(df.select("s"))
     assert "strategy=merge" in df.join(big, "s")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_component_with_too_many_doubled_taxa_is_not_valid(spark):
+    members = spark.createDataFrame([("g", f"t{t}|{c}", comp) for t in range(2) for c, comp in (("x", "c1"), ("y", "c1"), ("z", "c2"))], "group_id string, seq_name string, component string")
+    counts = spark.createDataFrame([("g", "t0|x", "t0|y", 150), ("g", "t1|x", "t1|y", 150), ("g", "t0|x", "t0|z", 150), ("g", "t0|x", "t1|x", 150)], "group_id string, a string, b string, overlap int")
+    valid = lambda overlap, most: {(r.component, r.valid) for r in tools.valid_components(members, counts, ["group_id"], overlap, most).collect()}
+    assert valid(100, 2) == {("c1", False), ("c2", True)}
+    assert valid(100, 3) == valid(200, 1) == {("c1", True), ("c2", True)}
+
+
+def test_pairs_of_alleles_are_no_component(spark):
+    rows = [("g", "t|a_allele_0", "p"), ("g", "t|a_allele_1", "p"), ("g", "t|b_allele_0", "q"), ("g", "u|b_allele_1", "q"), ("g", "t|c_allele_0", "r"), ("g", "t|c_allele_1", "r"), ("g", "u|d", "r")]
+    kept = tools.without_allele_pairs(spark.createDataFrame(rows, "group_id string, seq_name string, component string")).collect()
+    assert {r.component for r in kept} == {"q", "r"}
+
+
+def test_components_with_least_paralogy_are_joined(spark):
+    names = {"c1": ["t0|a", "t1|a"], "c2": ["t2|b", "t3|b"], "c3": ["t4|c", "t5|c", "t0|c"]}
+    members = spark.createDataFrame([(g, n, c) for g in "gh" for c, own in names.items() for n in own], "group_id string, seq_name string, component string")
+    pairs = [("t0|a", "t2|b"), ("t1|a", "t4|c"), ("t3|b", "t5|c")]
+    listed = spark.createDataFrame([(g, a, b, 9.0) for g in "gh" for a, b in pairs], PAIRS)
+    cannot = spark.createDataFrame([("g", "t0|a", "t0|c")], "group_id string, a string, b string")
+    got = {}
+    for r in tools.joined_components(members, listed, cannot, config.Inparalogs(min_taxa_share=0.3, max_jaccard=0.5)).collect():
+        got.setdefault((r.group_id, r.component), set()).add(r.seq_name)
+    assert set(map(frozenset, (v for (g, _), v in got.items() if g == "g"))) == {frozenset(names["c1"] + names["c2"]), frozenset(names["c3"])}
+    assert {len(v) for (g, _), v in got.items() if g == "h"} == {2, 3}, "without paralogs all would be one, so the limit is the largest score and nothing is joined"
+    apart = tools.joined_components(members, listed, cannot, config.Inparalogs(min_taxa_share=0.0)).groupBy("group_id", "component").count().count()
+    assert apart == 6
+
+
+def test_inparalog_outcomes(spark):
+    rows = family(random.Random(3))
+    df, listed = spark.createDataFrame(rows, ROWS), spark.createDataFrame(differ(rows), PAIRS)
+    said = lambda of=df, **k: {r.outcome for r in tools.inparalogs(of, listed, config.Inparalogs(overlap_splitting=80, overlap_merging=100, **k)).collect()}
+    assert said(df.filter("seq_name NOT LIKE '%c2'"), max_allele_distance=8.0) == {"no_threshold"}
+    assert said(max_allele_distance=8.0, min_taxa_share=1.1) == {"no_overlap"}
+    assert "component" in said(max_allele_distance=8.0, min_taxa_share=0.9)
+    assert said(max_allele_distance=8.0, large_ratio=1.0) <= {"no_separation", "component", "assigned", "unassigned"}
