@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.session import cut, is_empty
+from clademill.session import cut, written
 
 
 def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -33,10 +33,10 @@ def collapse(parents: DataFrame) -> DataFrame:
     stars = cut(parents)
     while True:
         up = stars.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        doubled = cut(stars.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
-        if is_empty(doubled.filter("moved")):
-            return doubled.drop("moved")
+        doubled, found = written(stars.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), moved=F.count_if("moved"))
         stars = doubled.drop("moved")
+        if not found["moved"]:
+            return stars
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -47,15 +47,15 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     on vertices whose other side is unique, so a vertex with a third of all pairs is split by adaptive skew
     handling. Records without a partner do not come out; an empty table gives none.
     """
-    edges = cut(clean_edges(pairs, a, b))
+    edges, left_over = written(clean_edges(pairs, a, b), n=F.count(F.lit(1)))
     rounds = []
-    while not is_empty(edges):
+    while left_over["n"]:
         stars = collapse(hook(edges))
         rounds.append(stars)
         left = stars.select(F.col("v").alias("u"), F.col("p").alias("ru"))
         right = stars.select("v", F.col("p").alias("rv"))
         moved = edges.join(left, "u").join(right, "v").filter("ru <> rv")
-        edges = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        edges, left_over = written(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), n=F.count(F.lit(1)))
     if not rounds:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     total = rounds.pop()
