@@ -45,9 +45,7 @@ class Secondary:
 @dataclasses.dataclass(frozen=True)
 class Phasing:
     min_share: float = 0.33
-    min_quality: int = 30
     min_coverage: int = 4
-    only_proper_pairs: bool = False
     stringency: float = 0.5
     excluded_taxa: tuple[str, ...] = ()
 
@@ -91,7 +89,6 @@ class Outparalogs:
     large_ratio: float = 0.5
     min_association: float = 2 / 3
     max_distance: float = 25.0
-    min_taxa: int = 10
 
 
 @dataclasses.dataclass(frozen=True)
@@ -103,7 +100,6 @@ class Inparalogs:
     overlap_splitting: int = 200
     overlap_merging: int = 300
     max_allele_distance: float = 4.0
-    min_taxa: int = 10
     excluded_taxa: tuple[str, ...] = ()
 
 
@@ -116,10 +112,7 @@ class Fragments:
 
 @dataclasses.dataclass(frozen=True)
 class Assembly:
-    k: int = 10
     overlap_threshold: int = 200
-    overlap_share: float = 0.2
-    max_allele_distance: float = 4.0
     mismatch_cost: float = 20.0
     overlap_cost: float = 1.0
 

@@ -10,7 +10,6 @@ from clademill.functions import dna, names
 from clademill.operators import columns, graph, groups, intervals, kmers, linkage, pairs, reads
 from clademill.plans import tools
 from clademill.plans.problems import sql_name
-from clademill.session import cut
 from clademill.sources import alignments as src
 from clademill.sources.tables import table
 
@@ -431,7 +430,7 @@ def constrained_linkage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def path_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    return linkage.fragment_paths(src.aligned(spark, folder), 60)
+    return tools.assembly(src.aligned(spark, folder), config.Assembly(overlap_threshold=60))
 
 
 _MATES = f"""o AS (SELECT read_name, seq_name, lo, seq, lead(lo) OVER w nlo, lead(seq) OVER w nseq, row_number() OVER w r FROM rd WINDOW w AS (PARTITION BY read_name, seq_name ORDER BY lo, seq)),
@@ -534,10 +533,10 @@ def paralogy_scores(spark: SparkSession, folder: str) -> DataFrame:
     st AS (SELECT lt.seq_name, lt.allele, string_agg(coalesce(base, ch), '' ORDER BY lt.pos) seq FROM lt LEFT JOIN ph ON ph.seq_name = lt.seq_name AND ph.allele = lt.allele AND ph.pos = lt.pos GROUP BY 1, 2)
     SELECT seq_name || '_allele_' || allele seq_name, regexp_replace(seq, '[n-]', '', 'g') seq FROM st UNION ALL SELECT seq_name, regexp_replace(seq, '[n-]', '', 'g') FROM rc WHERE seq_name NOT IN (SELECT seq_name FROM ph)""")
 def phased_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    own, snps = piled(spark, folder)
+    own = reads.distinct_reads(table(spark, folder, "reads"), names.canonical_name(F.col("seq_name")))
     loci = table(spark, folder, "target_loci").select("seq_name", "seq")
     records = loci.unionByName(contig_texts(spark, folder).join(loci, "seq_name", "left_anti"))
-    return reads.haplotypes(records, reads.phase(cut(reads.mate_pairs(own)), cut(snps)))
+    return tools.phasing(own, records, config.Phasing(min_coverage=4, min_share=SNP_SHARE, stringency=0.0))
 
 
 def contig_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -572,13 +571,13 @@ def secondary_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def outparalog_components(spark: SparkSession, folder: str) -> DataFrame:
-    p = config.Outparalogs(min_overlap=MIN_OVERLAP, min_taxa=3)
+    p = config.Outparalogs(min_overlap=MIN_OVERLAP)
     return tools.outparalogs(outgroup_rows(spark, folder), src.pair_distances(spark, folder), p, 50)
 
 
 @query()
 def inparalog_components(spark: SparkSession, folder: str) -> DataFrame:
-    p = config.Inparalogs(overlap_splitting=80, overlap_merging=MIN_OVERLAP, min_taxa=3)
+    p = config.Inparalogs(overlap_splitting=80, overlap_merging=MIN_OVERLAP)
     return tools.numbered(tools.inparalogs(outgroup_rows(spark, folder), src.pair_distances(spark, folder), p))
 
 

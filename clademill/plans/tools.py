@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clademill import config
 from clademill.functions import dna
 from clademill.functions.names import taxon_of, without_allele
-from clademill.operators import columns, graph, groups, kmers, linkage, pairs
+from clademill.operators import columns, graph, groups, kmers, linkage, pairs, reads
 from clademill.session import cut
 
 
@@ -204,6 +204,26 @@ def inparalogs(rows: DataFrame, distances: DataFrame, p: config.Inparalogs = con
     return every.select("group_id", "seq_name", "component", F.coalesce("outcome", said).alias("outcome"))
 
 
+def phasing(found: DataFrame, records: DataFrame, p: config.Phasing = config.Phasing()) -> DataFrame:
+    """``seq_name, seq``: the haplotypes of ``records``, from distinct reads on them (``reads.distinct_reads``).
+
+    Records of excluded taxa stay as they are, and so do those of whose neighbouring variable positions no share of
+    ``stringency`` is spanned by a read; a single variable position has no neighbour and counts.
+    """
+    snps = cut(reads.variable_positions(reads.pileup(found), p.min_coverage, p.min_share))
+    if p.excluded_taxa:
+        snps = snps.filter(~taxon_of(F.col("seq_name")).isin(*p.excluded_taxa))
+    if p.stringency > 0:
+        bad = reads.validity(reads.spanning(found, reads.adjacent(snps)), p.stringency).filter("NOT valid")
+        snps = snps.join(bad.select("seq_name"), "seq_name", "left_anti")
+    return reads.haplotypes(records, reads.phase(cut(reads.mate_pairs(found)), snps))
+
+
+def assembly(rows: DataFrame, p: config.Assembly = config.Assembly()) -> DataFrame:
+    """``group_id, taxon, path, score, seq``: fragments of a taxon chained into longer records (``linkage.fragment_paths``)."""
+    return linkage.fragment_paths(rows, p.overlap_threshold, p.overlap_cost, p.mismatch_cost)
+
+
 def retrim(rows: DataFrame, trim: config.Trim = config.Trim(), fragments: config.Fragments = config.Fragments()) -> DataFrame:
     """Trims again, then blanks small fragments."""
     cut = columns.trim(rows, trim.window, trim.ungapped, trim.acid_share, trim.max_gap)

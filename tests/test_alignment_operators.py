@@ -76,9 +76,9 @@ def test_mates_and_spans(spark):
 
 def test_config(tmp_path):
     path = tmp_path / "x.ini"
-    path.write_text("[GLOBAL]\nroot=/data\n[S4]\nkmers=[6, 9]\nmax_jaccard=3/4\nmin_taxa=4\n")
+    path.write_text("[GLOBAL]\nroot=/data\n[S4]\nkmers=[6, 9]\nmax_jaccard=3/4\nmax_alleles=4\n")
     p = config.load(config.Outparalogs, str(path), "S4")
-    assert p.kmers == (6, 9) and p.max_jaccard == 0.75 and p.min_taxa == 4
+    assert p.kmers == (6, 9) and p.max_jaccard == 0.75 and p.max_alleles == 4
     try:
         config.Clean(k=5, min_similarity=6)
     except ValueError:

@@ -131,3 +131,12 @@ def test_inparalog_outcomes(spark):
     assert said(max_allele_distance=8.0, min_taxa_share=1.1) == {"no_overlap"}
     assert "component" in said(max_allele_distance=8.0, min_taxa_share=0.9)
     assert said(max_allele_distance=8.0, large_ratio=1.0) <= {"no_separation", "component", "assigned", "unassigned"}
+
+
+def test_phasing_passes_excluded_taxa(spark):
+    rows = [("t|x", f"r{i}", 0, "ACGTACGT") for i in range(4)] + [("t|x", f"s{i}", 0, "ACTTACCT") for i in range(4)] + [("u|y", f"q{i}", 0, "AACC") for i in range(4)] + [("u|y", f"p{i}", 0, "ATCC") for i in range(4)]
+    found = spark.createDataFrame(rows, "seq_name string, read_name string, lo int, seq string").withColumn("hi", F.col("lo") + F.length("seq"))
+    records = spark.createDataFrame([("t|x", "ACGTACGT"), ("u|y", "AACC"), ("v|z", "A-n")], "seq_name string, seq string")
+    got = {r.seq_name: r.seq for r in tools.phasing(found, records, config.Phasing(excluded_taxa=("u",))).collect()}
+    assert got.pop("u|y") == "AACC" and got.pop("v|z") == "A"
+    assert set(got) == {"t|x_allele_0", "t|x_allele_1"} and set(got.values()) == {"ACGTACGT", "ACTTACCT"}
