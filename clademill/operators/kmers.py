@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clademill.functions import dna
 from clademill.functions.names import without_allele
-from clademill.session import cut
+from clademill.session import BROADCAST_BYTES, cut, written
 
 
 def by_position(rows: DataFrame, k: int, clean: bool = True) -> DataFrame:
@@ -22,6 +27,115 @@ def kmer_counts(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("group_id", "pos", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Letters of one group that a task compares at a time, nearly, and the least and most positions of a block.
+LETTERS, NARROW, WIDE = 6_000_000, 64, 4_096
+
+
+def blocked(rows: DataFrame, lengths: list[int], pairs: DataFrame | None = None) -> DataFrame:
+    """``group_id, block, width, a, b, part``: the texts of each group cut into blocks of positions, and its pairs with each block.
+
+    ``part`` has the ``width`` positions of its block and the letters that k-mers reach beyond them; it is null in rows of
+    pairs. Groups of many records have narrow blocks, so the size of a group bounds no task. Rows of a block are together
+    and sorted. Texts travel once and k-mers never do: as rows they are many times the input.
+    """
+    rows = cut(rows.filter("group_id IS NOT NULL AND seq_name IS NOT NULL").select("group_id", "seq_name", "seq"))
+    least, most = min(lengths), max(lengths)
+    count = lambda size: F.ceil((size - least) / F.col("width")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("block")
+    width = F.greatest(F.lit(NARROW), F.least(F.lit(WIDE), F.floor(F.lit(LETTERS) / F.count(F.lit(1))))).cast("int")
+    sizes = rows.groupBy("group_id").agg(width.alias("width"), F.max(F.length("seq")).alias("size")).filter(F.col("size") > least)
+    sizes, seen = written(sizes)
+    sizes = F.broadcast(sizes) if seen["bytes"] <= BROADCAST_BYTES else sizes
+    texts = rows.filter(F.length("seq") > least).join(sizes.select("group_id", "width"), "group_id")
+    texts = texts.select("group_id", "width", F.col("seq_name").alias("a"), F.lit(None).cast("string").alias("b"), "seq", each(count(F.length("seq"))))
+    texts = texts.select("group_id", "block", "width", "a", "b", F.substring("seq", F.col("block") * F.col("width") + 1, F.col("width") + most).alias("part"))
+    if pairs is not None:
+        asked = pairs.select("group_id", "a", "b").distinct().join(sizes, "group_id").select("group_id", each(count(F.col("size"))), "width", "a", "b", F.lit(None).cast("string").alias("part"))
+        texts = texts.unionByName(asked)
+    # few bytes but much work, so tasks are not merged
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(tasks, "group_id", "block").sortWithinPartitions("group_id", "block")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole blocks, as many at a time as make about ``LETTERS``, each with the number of its block by row."""
+
+    def split(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        group, block = table["group_id"].to_pylist(), table["block"].to_numpy()
+        key = np.cumsum([0, *(x != y for x, y in zip(group, group[1:]))]) if len(group) > 1 else np.zeros(len(group), int)
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+        size = np.maximum.reduceat(pc.fill_null(pc.utf8_length(table["part"]), 0).to_numpy(), first)
+        held = np.add.reduceat(table["part"].is_valid().to_numpy().astype(np.int64), first)
+        number = np.repeat(np.arange(len(first)), np.diff([*first, len(key)]))
+        start, n, wide = 0, 0, 0
+        for i in range(len(first)):
+            if i > start and (n + held[i]) * max(wide, size[i]) > LETTERS:
+                yield table.slice(first[start], first[i] - first[start]), number[first[start] : first[i]] - start
+                start, n, wide = i, 0, 0
+            n, wide = n + held[i], max(wide, size[i])
+        yield table.slice(first[start]), number[first[start] :] - start
+
+    kept, last = [], None
+    for t in batches:
+        if not t.num_rows:
+            continue
+        keys = list(zip(t["group_id"].to_pylist(), t["block"].to_pylist()))
+        i = t.num_rows - 1
+        while i and keys[i - 1] == keys[-1]:
+            i -= 1
+        if kept and (i or keys[0] != last):
+            yield from split(pa.Table.from_batches([*kept, t.slice(0, i)]))
+            kept, t = [], t.slice(i)
+        kept, last = [*kept, t], keys[-1]
+    if kept:
+        yield from split(pa.Table.from_batches(kept))
+
+
+def kinds(parts: list[str], key: np.ndarray, width: np.ndarray, lengths: list[int], shared: bool = True) -> list[np.ndarray]:
+    """For each length, in rising order, a matrix of records by positions: the number of the k-mer that starts there.
+
+    Equal k-mers of one position and block ``key`` have equal numbers, from 1; 0 where a gap, an unknown or no whole k-mer is, and with
+    ``shared`` where no other record of the block has the k-mer. Letters are compared, not hashes. A row of zeros is added at the end.
+    """
+    n, size = len(parts), np.array([len(x) for x in parts], np.int64)
+    across = max(0, min(int(width.max(initial=0)), int(size.max(initial=0)) - lengths[0]))
+    out = [np.zeros((n + 1, across), np.int32) for _ in lengths]
+    data = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.flatnonzero(np.bincount(data)) if len(data) else np.array([], np.int64)
+    good = used[~np.isin(used, [ord(c) for c in "Nn-"])]
+    if not len(good) or not across:
+        return out
+    table = np.full(used.max() + 1, -1, np.int32)
+    table[good] = np.arange(len(good))
+    grid = np.full((n, int(size.max())), -1, np.int32)
+    grid[np.arange(grid.shape[1]) < size[:, None]] = table[data]
+    grid = np.ascontiguousarray(grid.T)
+    limits, blocks = [np.minimum(width, size - k) for k in lengths], int(key.max()) + 1
+    for j in range(across):
+        code, top, ok, at = key.astype(np.int64), blocks, np.ones(n, bool), 0
+        for found, limit, k in zip(out, limits, lengths):
+            if j + k > len(grid):
+                break
+            for letter in grid[j + at : j + k]:
+                if top * len(good) >= 1 << 62:
+                    code, top = np.unique(code, return_inverse=True)[1], n
+                code = code * len(good) + letter
+                ok &= letter >= 0
+                top *= len(good)
+            at = k
+            own = np.flatnonzero(ok & (j < limit))
+            if not len(own):
+                continue
+            order = own[np.argsort(code[own])]
+            ordered = code[order]
+            new = np.r_[True, ordered[1:] != ordered[:-1]]
+            number = np.cumsum(new)
+            if shared:
+                number[new & np.r_[new[1:], True]] = 0
+            found[order, j] = number
+    return out
+
+
 def kmer_groups(kmers: DataFrame) -> DataFrame:
     """``group_id, pos, kmer, seq_name``: the records of each k-mer that two or more have at one position.
 
@@ -96,19 +210,47 @@ def pair_scores(rows: DataFrame, k: int, min_positions: int, pairs: DataFrame |
     fewer are left out, and ``score`` is 0 unless more positions than that were compared. Candidates are ``pairs``
     (group_id, a, b) if given, else those that are grouped somewhere.
     """
-    kmers = by_position(rows, k)
-    grouped = kmer_groups(kmers)
-    often = grouped.groupBy("group_id", "seq_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_positions).select("group_id", "seq_name")
-    held = grouped.join(often, ["group_id", "seq_name"], "left_semi")
     if pairs is None:
-        one, two = held.withColumnRenamed("seq_name", "a"), held.withColumnRenamed("seq_name", "b")
+        grouped = kmer_groups(by_position(rows, k))
+        one, two = grouped.withColumnRenamed("seq_name", "a"), grouped.withColumnRenamed("seq_name", "b")
         pairs = one.join(two, ["group_id", "pos", "kmer"]).filter("a < b").select("group_id", "a", "b").distinct()
-    places = F.collect_list("pos").alias("p")
-    lists = held.groupBy("group_id", "seq_name").agg(places, F.collect_list(F.xxhash64("pos", "kmer")).alias("h"))
-    left = lists.select("group_id", F.col("seq_name").alias("a"), F.col("p").alias("pa"), F.col("h").alias("ha"))
-    right = lists.select("group_id", F.col("seq_name").alias("b"), F.col("p").alias("pb"), F.col("h").alias("hb"))
-    joined = pairs.select("group_id", "a", "b").join(left, ["group_id", "a"]).join(right, ["group_id", "b"])
-    common, same = F.array_intersect("pa", "pb"), F.array_intersect("ha", "hb")
-    counted = joined.select("group_id", "a", "b", F.size(same).alias("together"), F.size(common).alias("compared"))
+    return pair_scores_by_length(rows, (k,), min_positions, pairs).drop("k")
+
+
+def pair_scores_by_length(rows: DataFrame, lengths: tuple[int, ...], min_positions: int, pairs: DataFrame) -> DataFrame:
+    """``group_id, a, b, k, together, compared, score``: ``pair_scores`` of the listed pairs for each length, from one pass over texts and pairs."""
+    lengths = sorted(set(lengths))
+    at = blocked(rows, lengths, pairs)
+    names = [f"{x}_{k}" for k in lengths for x in ("together", "compared", "na", "nb")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in chunks(batches):
+            held = table["part"].is_valid().to_numpy()
+            texts, asked = table.filter(held), table.filter(~held)
+            if not len(texts) or not len(asked):
+                continue
+            found = kinds(texts["part"].to_pylist(), key[held], texts["width"].to_numpy(), lengths)
+            row = {x: i for i, x in enumerate(zip(key[held].tolist(), texts["a"].to_pylist()))}
+            wanted = key[~held].tolist()
+            a, b = (np.array([row.get(x, -1) for x in zip(wanted, asked[c].to_pylist())], np.int64) for c in "ab")
+            counts = []
+            for f in found:
+                own, together, compared = np.count_nonzero(f, 1), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+                step = max(1, (1 << 19) // max(1, f.shape[1]))
+                for i in range(0, len(a), step):
+                    x, y = f[a[i : i + step]], f[b[i : i + step]]
+                    both = (x > 0) & (y > 0)
+                    compared[i : i + step] = both.sum(1)
+                    together[i : i + step] = (both & (x == y)).sum(1)
+                counts += [together, compared, own[a], own[b]]
+            some = np.any(np.array(counts) > 0, 0)
+            done = pa.table({**{c: asked[c] for c in ("group_id", "a", "b")}, **{c: pa.array(x, pa.int32()) for c, x in zip(names, counts)}})
+            yield from done.filter(some).combine_chunks().to_batches()
+
+    group = at.schema["group_id"].dataType.simpleString()
+    parts = at.mapInArrow(run, f"group_id {group}, a string, b string, " + ", ".join(f"{c} int" for c in names))
+    total = parts.groupBy("group_id", "a", "b").agg(*[F.sum(c).cast("int").alias(c) for c in names])
+    by = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{x}_{k}").alias(x) for x in ("together", "compared", "na", "nb")]) for k in lengths]))
+    counted = total.select("group_id", "a", "b", by.alias("c")).select("group_id", "a", "b", "c.*").filter((F.col("together") > 0) & (F.col("na") > min_positions) & (F.col("nb") > min_positions))
     score = F.when(F.col("compared") > min_positions, F.col("together") / F.col("compared")).otherwise(0.0)
-    return counted.filter("together > 0").withColumn("score", F.round(score, 6))
+    return counted.select("group_id", "a", "b", "k", "together", "compared", F.round(score, 6).alias("score"))
