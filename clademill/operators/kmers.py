@@ -136,12 +136,25 @@ def kinds(parts: list[str], key: np.ndarray, width: np.ndarray, lengths: list[in
     return out
 
 
-def kmer_groups(kmers: DataFrame) -> DataFrame:
+def kmer_groups(rows: DataFrame, k: int) -> DataFrame:
     """``group_id, pos, kmer, seq_name``: the records of each k-mer that two or more have at one position.
 
     One row per record, not a list per k-mer, so a k-mer that all records of a large group share stays spread out.
     """
-    return kmers.join(kmer_counts(kmers).filter("n > 1"), ["group_id", "pos", "kmer"], "left_semi")
+    at = blocked(rows, [k])
+    group = at.schema["group_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in chunks(batches):
+            (found,) = kinds(table["part"].to_pylist(), key, table["width"].to_numpy(), [k])
+            record, place = np.nonzero(found[:-1])
+            ends = np.r_[0, np.cumsum(np.bincount(record, minlength=len(key)))]
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+            yield from table.select(["group_id", "block", "width", "a", "part"]).append_column("places", places).combine_chunks().to_batches()
+
+    done = at.mapInArrow(run, f"group_id {group}, block int, width int, a string, part string, places array<int>")
+    one = done.select("group_id", "block", "width", "a", "part", F.explode("places").alias("p"))
+    return one.select("group_id", (F.col("block") * F.col("width") + F.col("p")).alias("pos"), F.substring("part", F.col("p") + 1, F.lit(k)).alias("kmer"), F.col("a").alias("seq_name"))
 
 
 def singletons(rows: DataFrame, k: int, min_similarity: int, first: int = 4) -> DataFrame:
@@ -211,7 +224,7 @@ def pair_scores(rows: DataFrame, k: int, min_positions: int, pairs: DataFrame |
     (group_id, a, b) if given, else those that are grouped somewhere.
     """
     if pairs is None:
-        grouped = kmer_groups(by_position(rows, k))
+        grouped = kmer_groups(rows, k)
         one, two = grouped.withColumnRenamed("seq_name", "a"), grouped.withColumnRenamed("seq_name", "b")
         pairs = one.join(two, ["group_id", "pos", "kmer"]).filter("a < b").select("group_id", "a", "b").distinct()
     return pair_scores_by_length(rows, (k,), min_positions, pairs).drop("k")

@@ -237,7 +237,7 @@ def kmers_by_position(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {AL}, {_KM}, kc AS (SELECT * FROM km WHERE NOT regexp_matches(kmer, '[N-]')) SELECT kc.group_id, kc.pos::INTEGER pos, kc.kmer, seq_name
     FROM kc SEMI JOIN (SELECT group_id, pos, kmer FROM kc GROUP BY ALL HAVING count(*) > 1) n USING (group_id, pos, kmer)""")
 def kmer_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return kmers.kmer_groups(kmers.by_position(src.aligned(spark, folder), K))
+    return kmers.kmer_groups(src.aligned(spark, folder), K)
 
 
 _SINGLE = f"""kn AS (SELECT group_id, pos, kmer, count(*) n, count(DISTINCT regexp_replace(seq_name, '_allele_[01]$', '')) u, count(*) FILTER (regexp_matches(seq_name, '_allele_[01]$')) ph FROM km WHERE regexp_matches(kmer, '[^-]') GROUP BY ALL),

@@ -67,6 +67,15 @@ def test_pair_scores_do_not_move_kmers(spark, monkeypatch):
     assert sorted(map(tuple, kmers.pair_scores(df, 9, 8).collect())) == scored(rows, 9, 8, pairs)
 
 
+def test_kmer_groups_do_not_move_kmers(spark, monkeypatch):
+    rows, df = tables(spark)
+    assert not travels(kmers.kmer_groups(df, 9))
+    assert sorted(map(tuple, kmers.kmer_groups(df, 9).collect())) == grouped(rows, 9)
+    narrow(monkeypatch)
+    assert sorted(map(tuple, kmers.kmer_groups(df, 5).collect())) == grouped(rows, 5)
+    assert kmers.kmer_groups(spark.createDataFrame([], SCHEMA), 5).count() == 0
+
+
 def test_kinds_are_exact_when_codes_outgrow_a_long():
     rnd = random.Random(1)
     letters = [chr(0x100 + i) for i in range(3000)]
