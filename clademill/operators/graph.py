@@ -56,23 +56,28 @@ def keep_components(members: DataFrame, taxon: str, more_than: int) -> DataFrame
     return members.join(sizes, "component").select("vertex", "component", "n_taxa", (F.col("n_taxa") > more_than).alias("kept"))
 
 
-def outgroup_threshold(scores: DataFrame, counts: DataFrame, outgroups: DataFrame) -> DataFrame:
-    """``group_id, threshold``: the best score of an ingroup and an outgroup record, over pairs with more than 300 common
-    columns, else more than 200, else more than 100, else 0."""
+def with_overlap(scores: DataFrame, counts: DataFrame) -> DataFrame:
+    """The scores with the ``overlap`` of their pairs."""
+    return scores.join(counts.select("group_id", "a", "b", "overlap"), ["group_id", "a", "b"])
+
+
+def outgroup_threshold(scores: DataFrame, outgroups: DataFrame, keys: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """``keys, threshold``: the best score of an ingroup and an outgroup record, over pairs with more than 300 common
+    columns, else more than 200, else more than 100, else 0. ``scores`` carry ``overlap``."""
     taxon = lambda c: F.split_part(c, F.lit("|"), F.lit(1))
     marked = outgroups.select("taxon").distinct()
-    both = scores.join(counts.select("group_id", "a", "b", "overlap"), ["group_id", "a", "b"]).withColumn("ta", taxon(F.col("a"))).withColumn("tb", taxon(F.col("b")))
+    both = scores.withColumn("ta", taxon(F.col("a"))).withColumn("tb", taxon(F.col("b")))
     both = both.join(marked.select(F.col("taxon").alias("ta"), F.lit(1).alias("oa")), "ta", "left").join(marked.select(F.col("taxon").alias("tb"), F.lit(1).alias("ob")), "tb", "left")
     mixed = both.filter(F.col("oa").isNull() != F.col("ob").isNull())
     tiers = [F.max(F.when(F.col("overlap") > n, F.col("score"))) for n in (300, 200, 100)]
-    return mixed.groupBy("group_id").agg(F.coalesce(*tiers, F.lit(0.0)).alias("threshold"))
+    return mixed.groupBy(*keys).agg(F.coalesce(*tiers, F.lit(0.0)).alias("threshold"))
 
 
-def similarity_edges(scores: DataFrame, counts: DataFrame, thresholds: DataFrame, outgroups: DataFrame, min_overlap: int) -> DataFrame:
-    """``group_id, a, b`` of ingroup pairs that score above the group's threshold on more than ``min_overlap`` columns."""
+def similarity_edges(scores: DataFrame, thresholds: DataFrame, outgroups: DataFrame, min_overlap: int, keys: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """``keys, a, b`` of ingroup pairs that score above the threshold of their ``keys`` on more than ``min_overlap`` columns."""
     taxon = lambda c: F.split_part(c, F.lit("|"), F.lit(1))
     out = outgroups.select("taxon").distinct()
-    pairs = scores.join(counts.select("group_id", "a", "b", "overlap"), ["group_id", "a", "b"]).filter(F.col("overlap") > min_overlap)
+    pairs = scores.filter(F.col("overlap") > min_overlap)
     pairs = pairs.withColumn("ta", taxon(F.col("a"))).withColumn("tb", taxon(F.col("b")))
     pairs = pairs.join(out.select(F.col("taxon").alias("ta")), "ta", "left_anti").join(out.select(F.col("taxon").alias("tb")), "tb", "left_anti")
-    return pairs.join(thresholds, "group_id", "left").filter(F.col("score") > F.coalesce("threshold", F.lit(0.0))).select("group_id", "a", "b")
+    return pairs.join(thresholds, list(keys), "left").filter(F.col("score") > F.coalesce("threshold", F.lit(0.0))).select(*keys, "a", "b")

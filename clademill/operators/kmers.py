@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,18 +29,21 @@ def kmer_counts(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("group_id", "pos", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+# functions of this module travel to the tasks themselves, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Letters of one group that a task compares at a time, nearly, and the least and most positions of a block.
 LETTERS, NARROW, WIDE = 6_000_000, 64, 4_096
 
 
-def blocked(rows: DataFrame, lengths: list[int], pairs: DataFrame | None = None) -> DataFrame:
-    """``group_id, block, width, a, b, part``: the texts of each group cut into blocks of positions, and its pairs with each block.
+def blocked(rows: DataFrame, lengths: list[int], pairs: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """``group_id, block, width, a, b, part`` and the columns ``more``: the texts of each group cut into blocks of positions, and its pairs with each block.
 
     ``part`` has the ``width`` positions of its block and the letters that k-mers reach beyond them; it is null in rows of
     pairs. Groups of many records have narrow blocks, so the size of a group bounds no task. Rows of a block are together
     and sorted. Texts travel once and k-mers never do: as rows they are many times the input.
     """
-    rows = cut(rows.filter("group_id IS NOT NULL AND seq_name IS NOT NULL").select("group_id", "seq_name", "seq"))
+    rows = cut(rows.filter("group_id IS NOT NULL AND seq_name IS NOT NULL").select("group_id", "seq_name", "seq", *more))
     least, most = min(lengths), max(lengths)
     count = lambda size: F.ceil((size - least) / F.col("width")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("block")
@@ -47,8 +52,8 @@ def blocked(rows: DataFrame, lengths: list[int], pairs: DataFrame | None = None)
     sizes, seen = written(sizes)
     sizes = F.broadcast(sizes) if seen["bytes"] <= BROADCAST_BYTES else sizes
     texts = rows.filter(F.length("seq") > least).join(sizes.select("group_id", "width"), "group_id")
-    texts = texts.select("group_id", "width", F.col("seq_name").alias("a"), F.lit(None).cast("string").alias("b"), "seq", each(count(F.length("seq"))))
-    texts = texts.select("group_id", "block", "width", "a", "b", F.substring("seq", F.col("block") * F.col("width") + 1, F.col("width") + most).alias("part"))
+    texts = texts.select("group_id", "width", F.col("seq_name").alias("a"), F.lit(None).cast("string").alias("b"), "seq", *more, each(count(F.length("seq"))))
+    texts = texts.select("group_id", "block", "width", "a", "b", F.substring("seq", F.col("block") * F.col("width") + 1, F.col("width") + most).alias("part"), *more)
     if pairs is not None:
         asked = pairs.select("group_id", "a", "b").distinct().join(sizes, "group_id").select("group_id", each(count(F.col("size"))), "width", "a", "b", F.lit(None).cast("string").alias("part"))
         texts = texts.unionByName(asked)

@@ -10,6 +10,7 @@ from clademill.functions import dna, names
 from clademill.operators import columns, graph, groups, intervals, kmers, linkage, pairs, reads
 from clademill.plans import tools
 from clademill.plans.problems import sql_name
+from clademill.session import cut
 from clademill.sources import alignments as src
 from clademill.sources.tables import table
 
@@ -292,10 +293,10 @@ def kmer_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     se AS (SELECT kx.group_id, a, b FROM kx LEFT JOIN th USING (group_id) WHERE overlap > {MIN_OVERLAP} AND NOT oa AND NOT ob AND score > coalesce(t, 0.0)), ed AS (SELECT group_id, a, b FROM se UNION SELECT group_id, b, a FROM se),
     rr(group_id, v, o) AS (SELECT group_id, a, a FROM ed UNION SELECT rr.group_id, rr.v, ed.b FROM rr JOIN ed ON rr.group_id = ed.group_id AND rr.o = ed.a) SELECT group_id, v seq_name, min(o) component FROM rr GROUP BY 1, 2""")
 def similarity_components(spark: SparkSession, folder: str) -> DataFrame:
-    rows, listed, out = src.aligned(spark, folder), src.pair_distances(spark, folder), src.outgroup_taxa(spark, folder)
-    counts = pairs.pair_counts(listed, rows)
-    scores = kmers.pair_scores(rows, K, 50, listed)
-    edges = graph.similarity_edges(scores, counts, graph.outgroup_threshold(scores, counts, out), out, MIN_OVERLAP)
+    rows, listed, out = cut(src.aligned(spark, folder).select("group_id", "seq_name", "seq")), src.pair_distances(spark, folder), src.outgroup_taxa(spark, folder)
+    scores = cut(kmers.pair_scores(rows, K, 50, listed))
+    scores = cut(graph.with_overlap(scores, pairs.pair_counts(scores, rows)))
+    edges = graph.similarity_edges(scores, graph.outgroup_threshold(scores, out), out, MIN_OVERLAP)
     return graph.connected_components(edges, "a", "b", "group_id").withColumnRenamed("vertex", "seq_name")
 
 

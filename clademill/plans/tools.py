@@ -77,12 +77,9 @@ def sweep(rows: DataFrame, counts: DataFrame, outgroups: DataFrame, p: config.Ou
     All lengths are computed in one plan. A length settles a group if it gives several components, or a single one that is
     valid; of a group that none settles the first length with a component counts.
     """
-    found = None
-    for k in p.kmers:
-        scores = kmers.pair_scores(rows, k, min_positions, counts)
-        edges = graph.similarity_edges(scores, counts, graph.outgroup_threshold(scores, counts, outgroups), outgroups, p.min_overlap)
-        part = edges.withColumn("k", F.lit(k))
-        found = part if found is None else found.unionByName(part)
+    keys = ("group_id", "k")
+    scores = cut(graph.with_overlap(kmers.pair_scores_by_length(rows, p.kmers, min_positions, counts), counts))
+    found = graph.similarity_edges(scores, graph.outgroup_threshold(scores, outgroups, keys), outgroups, p.min_overlap, keys)
     keyed = found.withColumn("key", F.concat_ws("\u0001", F.col("group_id"), "k"))
     members = graph.connected_components(keyed, "a", "b", "key").select(F.split_part("key", F.lit("\u0001"), F.lit(1)).alias("group_id"), F.split_part("key", F.lit("\u0001"), F.lit(2)).cast("int").alias("k"), F.col("vertex").alias("seq_name"), "component")
     n = valid_components(members, counts, ["group_id", "k"], p.min_overlap, p.max_alleles).groupBy("group_id", "k").agg(F.count(F.lit(1)).alias("n"), F.bool_and("valid").alias("valid"))

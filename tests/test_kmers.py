@@ -87,3 +87,14 @@ def test_kinds_are_exact_when_codes_outgrow_a_long():
     for i, x in enumerate(texts):
         place[key[i], x].add(int(found[i, 0]))
     assert all(len(x) == 1 for x in place.values()) and len(set.union(*place.values())) == len(place)
+
+
+def test_sweep_and_similarity_do_not_move_kmers(spark):
+    from clademill import config
+    from clademill.plans import tools
+
+    rows, df = tables(spark)
+    counts = spark.createDataFrame([("g", "t0|c", f"t{i}|c", 80) for i in range(1, 9)], "group_id string, a string, b string, overlap int")
+    out = spark.createDataFrame([("t8",)], "taxon string")
+    members = tools.sweep(df, counts, out, config.Outparalogs(kmers=(4, 9), min_overlap=20), 8)
+    assert not travels(members) and {r.group_id for r in members.collect()} == {"g"}
