@@ -272,3 +272,59 @@ def pair_scores_by_length(rows: DataFrame, lengths: tuple[int, ...], min_positio
     counted = total.select("group_id", "a", "b", by.alias("c")).select("group_id", "a", "b", "c.*").filter((F.col("together") > 0) & (F.col("na") > min_positions) & (F.col("nb") > min_positions))
     score = F.when(F.col("compared") > min_positions, F.col("together") / F.col("compared")).otherwise(0.0)
     return counted.select("group_id", "a", "b", "k", "together", "compared", F.round(score, 6).alias("score"))
+
+
+def component_agreement(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """``group_id, c1, c2, ratio``: share of the positions common to two components of a group at which all their records have one k-mer.
+
+    ``rows``: group_id, seq_name, seq, component, k; ``k`` is one of ``lengths``, the same in a group.
+    """
+    lengths = sorted(set(lengths))
+    at = blocked(rows, lengths, more=("component", "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in chunks(batches):
+            for k in lengths:
+                mine = table["k"].to_numpy() == k
+                if mine.any():
+                    yield from agreed(table.filter(mine), np.unique(key[mine], return_inverse=True)[1], k)
+
+    def agreed(table: pa.Table, key: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+        (found,) = kinds(table["part"].to_pylist(), key, table["width"].to_numpy(), [k], shared=False)
+        place = {x: i for i, x in enumerate(sorted(set(zip(key.tolist(), table["component"].to_pylist()))))}
+        of = np.array([place[x] for x in zip(key.tolist(), table["component"].to_pylist())])
+        order = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[order], np.arange(len(place)))
+        high = np.maximum.reduceat(found[order], first, axis=0)
+        low = np.minimum.reduceat(np.where(found[order] == 0, np.iinfo(np.int32).max, found[order]), first, axis=0)
+        one = np.where(low == high, high, -(high > 0).astype(np.int32))  # 0: none, -1: several
+        names, block = np.array([c for _, c in sorted(place)], object), np.array([x for x, _ in sorted(place)])
+        starts = np.searchsorted(block, np.arange(block[-1] + 2))
+        source = np.searchsorted(key, np.arange(block[-1] + 1))
+        step = max(1, (1 << 19) // max(1, one.shape[1]))
+        groups = table["group_id"].combine_chunks()
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            rows, c1, c2, same, met = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([groups.take(pa.array(rows)), pa.array(c1, pa.string()), pa.array(c2, pa.string()), pa.array(same), pa.array(met)], ["group_id", "c1", "c2", "same", "met"])
+
+        for x, y, row in zip(starts, starts[1:], source):
+            for i in range(x, y - 1):
+                for lo in range(i + 1, y, step):
+                    theirs = one[lo : min(y, lo + step)]
+                    both = (one[i] != 0) & (theirs != 0)
+                    met, same = both.sum(1), ((theirs == one[i]) & (one[i] > 0)).sum(1)
+                    some = np.flatnonzero(met)
+                    if len(some):
+                        held.append((np.full(len(some), row), np.full(len(some), names[i], object), names[lo + some], same[some], met[some]))
+                        size += len(some)
+                    if size > 50_000:
+                        yield batch()
+                        held, size = [], 0
+        if held:
+            yield batch()
+
+    group = at.schema["group_id"].dataType.simpleString()
+    parts = at.mapInArrow(run, f"group_id {group}, c1 string, c2 string, same long, met long")
+    return parts.groupBy("group_id", "c1", "c2").agg((F.sum("same") / F.sum("met")).alias("ratio"))

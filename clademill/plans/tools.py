@@ -101,17 +101,8 @@ def fuse(members: DataFrame, support: DataFrame, max_jaccard: float, min_ratio:
 
 def association_support(rows: DataFrame, members: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """``group_id, c1, c2, ratio``: share of the positions at which two components with a common position agree on one k-mer group."""
-    inside = None
-    for k in lengths:  # of each group the length that settled it
-        own = members.filter(F.col("k") == k).select("group_id", "seq_name", "component")
-        part = kmers.by_position(rows.join(own, ["group_id", "seq_name"], "left_semi"), k).join(own, ["group_id", "seq_name"])
-        inside = part if inside is None else inside.unionByName(part)
-    kinds = inside.select("group_id", "pos", "component", "kmer").distinct()
-    by = kinds.groupBy("group_id", "pos", "component").agg(F.min("kmer").alias("lo"), F.max("kmer").alias("hi"))
-    one, two = by.select("group_id", "pos", F.col("component").alias("c1"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), by.select("group_id", "pos", F.col("component").alias("c2"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-    met = one.join(two, ["group_id", "pos"]).filter("c1 < c2")
-    same = (F.col("l1") == F.col("h1")) & (F.col("l1") == F.col("l2")) & (F.col("l2") == F.col("h2"))
-    return met.groupBy("group_id", "c1", "c2").agg((F.count_if(same) / F.count(F.lit(1))).alias("ratio"))
+    own = members.select("group_id", "seq_name", "component", "k")
+    return kmers.component_agreement(rows.join(own, ["group_id", "seq_name"]), lengths)
 
 
 def outparalogs(rows: DataFrame, distances: DataFrame, p: config.Outparalogs = config.Outparalogs(), min_positions: int = 100) -> DataFrame:

@@ -89,6 +89,28 @@ def test_kinds_are_exact_when_codes_outgrow_a_long():
     assert all(len(x) == 1 for x in place.values()) and len(set.union(*place.values())) == len(place)
 
 
+def test_component_agreement_against_brute_force(spark, monkeypatch):
+    rows, _ = tables(spark)
+    rnd = random.Random(4)
+    given = [(*x, f"c{rnd.randrange(3)}", {"g": 4, "h": 9}.get(x[0], 4)) for x in rows]
+    df = spark.createDataFrame(given, SCHEMA + ", component string, k int")
+    words = defaultdict(set)
+    for g, _, s, c, k in given:
+        for p in range(len(s) - k):
+            if not set(s[p : p + k]) & set("Nn-"):
+                words[g, c, p].add(s[p : p + k])
+    want = {}
+    for g, x, y in {(g, x, y) for g, x, _ in words for h, y, _ in words if g == h and x < y}:
+        met = [p for h, c, p in words if (h, c) == (g, x) and (g, y, p) in words]
+        if met:
+            want[g, x, y] = sum(len(words[g, x, p] | words[g, y, p]) == 1 for p in met) / len(met)
+    assert want
+    for _ in range(2):
+        assert not travels(kmers.component_agreement(df, (4, 9)))
+        assert {(r.group_id, r.c1, r.c2): r.ratio for r in kmers.component_agreement(df, (4, 9)).collect()} == want
+        narrow(monkeypatch)
+
+
 def test_sweep_and_similarity_do_not_move_kmers(spark):
     from clademill import config
     from clademill.plans import tools
@@ -98,3 +120,4 @@ def test_sweep_and_similarity_do_not_move_kmers(spark):
     out = spark.createDataFrame([("t8",)], "taxon string")
     members = tools.sweep(df, counts, out, config.Outparalogs(kmers=(4, 9), min_overlap=20), 8)
     assert not travels(members) and {r.group_id for r in members.collect()} == {"g"}
+    assert not travels(tools.association_support(df, members, (4, 9)))
