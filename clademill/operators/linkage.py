@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clademill.operators.graph import connected_components
 from clademill.session import cut, written
@@ -88,40 +95,100 @@ def fragment_paths(rows: DataFrame, max_overlap: int, overlap_cost: float = 1.0,
     shares at most ``max_overlap`` columns. The best chain, by covered columns less costs of overlapping and of
     differing columns, is taken out again and again until no record is left. The best chain is found by dynamic
     programming over the ends, not by listing all. ``seq`` has the first record's letter where several have one.
+    Common columns are counted once for all chains, as products of matrices; after a chain is taken out only the ends
+    are placed again whose best chain went through it, since the scores of the others cannot have changed.
     """
     kind = rows.schema["group_id"].dataType.simpleString()
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        left = {}
-        for name, seq in part.sort_values("seq_name")[["seq_name", "seq"]].itertuples(index=False):
-            where = [i for i, c in enumerate(seq) if c not in "-N"]
-            if where:
-                left[name] = (where[0], where[-1] + 1, seq, set(where))
+    types = [to_arrow_type(rows.schema["group_id"].dataType), pa.string(), pa.string(), pa.float64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (x for t in batches for x in zip(*(t[c].to_pylist() for c in ("group_id", "taxon", "seq_name", "seq"))))
+        done = (x for key, part in itertools.groupby(every, key=lambda x: x[:2]) for x in chains(key, part))
+        while held := list(itertools.islice(done, 5_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], ["group_id", "taxon", "path", "score", "seq"])
+
+    def chains(key: tuple, part: Iterator[tuple]) -> list[tuple]:
+        found = []
+        for *_, name, seq in part:
+            filled = seq.replace("N", "-")
+            if held := filled.strip("-"):
+                lo = len(filled) - len(filled.lstrip("-"))
+                found.append((lo, lo + len(held), name, seq))
+        found.sort(key=lambda x: x[:3])
+        if len(found) == 1:
+            ((_, _, name, seq),) = found
+            return [(*key, f"{key[1]}|{name.split('|', 1)[-1]}", float(len(seq) - seq.count("-") - seq.count("N")), seq.replace("N", "-"))]
+        n, across = len(found), max((len(x[3]) for x in found), default=0)
+        grid = np.full((n, across), ord("-"), np.uint32)
+        for i, (*_, seq) in enumerate(found):
+            grid[i, : len(seq)] = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
+        where = (grid != ord("-")) & (grid != ord("N"))
+        starts, full = np.array([x[0] for x in found], np.int64), where.sum(1)
+        before = np.searchsorted(starts, starts)  # so many records start earlier
+        occupied = where.astype(np.float32)
+        letters = [((grid == x) & where).astype(np.float32) for x in np.unique(grid[where])] if n else []
+        edges = []
+        for lo in range(0, n, 256):
+            hi = min(n, lo + 256)
+            share = occupied[lo:hi] @ occupied[:hi].T
+            equal = sum((x[lo:hi] @ x[:hi].T for x in letters), np.zeros_like(share))
+            for i in range(lo, hi):
+                common = share[i - lo, : before[i]]
+                near = np.flatnonzero(common <= max_overlap)
+                both = common[near].astype(np.int32)
+                edges.append((near.astype(np.int32), both, both - equal[i - lo, near].astype(np.int32)))
+        later: list[list[int]] = [[] for _ in range(n)]
+        score, link = full.astype(float), np.full(n, -1)
+        alive = np.ones(n, bool)
+
+        def place(i: int) -> None:
+            earlier, common, differ = edges[i]
+            score[i], link[i] = float(full[i]), -1
+            if len(earlier):
+                value = score[earlier] + full[i] - common - overlap_cost * common - mismatch_cost * differ
+                m = int(np.argmax(value))
+                if value[m] > score[i]:
+                    score[i], link[i] = value[m], earlier[m]
+                    later[link[i]].append(i)
+
+        for i in range(n):
+            place(i)
         out = []
-        while left:
-            names = sorted(left, key=lambda n: (left[n][0], left[n][1], n))
-            best: dict[str, tuple[float, tuple[str, ...]]] = {}
-            for n in names:
-                lo, _, seq, where = left[n]
-                best[n] = (float(len(where)), (n,))
-                for m in names:
-                    if m == n:
-                        break
-                    common = where & left[m][3]
-                    if left[m][0] < lo and len(common) <= max_overlap:
-                        differ = sum(seq[i] != left[m][2][i] for i in common)
-                        score = best[m][0] + len(where) - len(common) - overlap_cost * len(common) - mismatch_cost * differ
-                        if score > best[n][0]:
-                            best[n] = (score, (*best[m][1], n))
-            score, path = max(best.values(), key=lambda v: (v[0], [-ord(c) for c in v[1][0]]))
-            text = list(left[path[0]][2].replace("N", "-"))
-            for n in path[1:]:
-                for i in left[n][3]:
-                    if text[i] == "-":
-                        text[i] = left[n][2][i]
-            out.append((key[0], key[1], "|".join([key[1], *(n.split("|", 1)[-1] for n in path)]), score, "".join(text)))
-            for n in path:
-                del left[n]
-        return pd.DataFrame(out, columns=["group_id", "taxon", "path", "score", "seq"])
-
-    return rows.select("group_id", "taxon", "seq_name", "seq").groupBy("group_id", "taxon").applyInPandas(run, f"group_id {kind}, taxon string, path string, score double, seq string")
+        while alive.any():
+            best = score[alive].max()
+            ends = np.flatnonzero(alive & (score == best))
+
+            def chain(i: int) -> list[int]:
+                path = [i]
+                while link[path[-1]] >= 0:
+                    path.append(int(link[path[-1]]))
+                return path[::-1]
+
+            path = max((chain(int(i)) for i in ends), key=lambda p: [-ord(c) for c in found[p[0]][2]])
+            text = grid[path[0]].copy()
+            text[text == ord("N")] = ord("-")
+            for i in path[1:]:
+                spots = where[i] & (text == ord("-"))
+                text[spots] = grid[i, spots]
+            text = text[: max(len(found[path[0]][3]), *(found[i][1] for i in path))]
+            out.append((key[0], key[1], "|".join([key[1], *(found[i][2].split("|", 1)[-1] for i in path)]), float(best), text.tobytes().decode("utf-32-le")))
+            alive[path] = False
+            score[path] = -np.inf
+            # only ends whose best chain went through a record that is gone are placed again, from left to right
+            todo = [i for m in path for i in later[m] if alive[i] and link[i] == m]
+            heapq.heapify(todo)
+            while todo:
+                i = heapq.heappop(todo)
+                while todo and todo[0] == i:
+                    heapq.heappop(todo)
+                old = score[i]
+                place(i)
+                if score[i] != old:
+                    for x in later[i]:
+                        if alive[x] and link[x] == i:
+                            heapq.heappush(todo, x)
+        return out
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = rows.select("group_id", "taxon", "seq_name", "seq").repartition(tasks, "group_id", "taxon").sortWithinPartitions("group_id", "taxon")
+    return parted.mapInArrow(run, f"group_id {kind}, taxon string, path string, score double, seq string")

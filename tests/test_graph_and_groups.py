@@ -1,3 +1,4 @@
+import time
 import random
 
 from clademill.operators import graph, groups, linkage
@@ -72,3 +73,51 @@ def test_linkage_in_rounds_is_the_same(spark, monkeypatch):
     want = {(r.component, r.cluster, r.seq_name) for r in linkage.constrained_linkage(edges, cannot).collect()}
     monkeypatch.setattr(linkage, "LOCAL_EDGES", 3)
     assert {(r.component, r.cluster, r.seq_name) for r in linkage.constrained_linkage(edges, cannot).collect()} == want
+
+
+def chained(rows, max_overlap):
+    """Chains of the records of one taxon, all found anew after each."""
+    left, out = {}, []
+    for name, seq in rows:
+        where = [i for i, c in enumerate(seq) if c not in "-N"]
+        if where:
+            left[name] = (where[0], where[-1] + 1, seq, set(where))
+    while left:
+        names, best = sorted(left, key=lambda n: (left[n][0], left[n][1], n)), {}
+        for n in names:
+            best[n] = (float(len(left[n][3])), (n,))
+            for m in names[: names.index(n)]:
+                common = left[n][3] & left[m][3]
+                if left[m][0] < left[n][0] and len(common) <= max_overlap:
+                    score = best[m][0] + len(left[n][3]) - 2 * len(common) - 20 * sum(left[n][2][i] != left[m][2][i] for i in common)
+                    if score > best[n][0]:
+                        best[n] = (score, (*best[m][1], n))
+        score, path = max(best.values(), key=lambda v: (v[0], [-ord(c) for c in v[1][0]]))
+        text = list(left[path[0]][2].replace("N", "-"))
+        for n in path[1:]:
+            for i in left[n][3]:
+                text[i] = left[n][2][i] if text[i] == "-" else text[i]
+        out.append(("|".join(["t", *(n.split("|", 1)[-1] for n in path)]), score, "".join(text)))
+        for n in path:
+            del left[n]
+    return sorted(out)
+
+
+def test_fragment_paths_of_many_records(spark):
+    rnd = random.Random(3)
+    root = "".join(rnd.choice("ACGT") for _ in range(120))
+
+    def record():
+        lo, hi = sorted(rnd.sample(range(121), 2))
+        return "-" * lo + "".join(rnd.choice("ACGTRN-") if rnd.random() < 0.05 else c for c in root[lo:hi]) + "-" * (120 - hi)
+
+    rows = [(f"t|r{i}", record()) for i in range(150)]
+    schema = "group_id string, taxon string, seq_name string, seq string"
+    got = linkage.fragment_paths(spark.createDataFrame([("g", "t", *r) for r in rows], schema), 10).collect()
+    assert sorted((r.path, r.score, r.seq) for r in got) == chained(rows, 10)
+    uneven = [("g", "t", "t|a", "AC"), ("g", "t", "t|b", "--GT--"), ("g", "t", "t|c", "---")]
+    assert [(r.path, r.seq) for r in linkage.fragment_paths(spark.createDataFrame(uneven, schema), 10).collect()] == [("t|a|b", "ACGT")]
+    many = [("g", "t", f"t|r{i}", record()) for i in range(1500)]
+    began = time.time()
+    found = linkage.fragment_paths(spark.createDataFrame(many, schema), 10).collect()
+    assert time.time() - began < 60 and sum(r.path.count("|") for r in found) == sum(bool(set(r[3]) - set("-N")) for r in many)
