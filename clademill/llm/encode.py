@@ -33,23 +33,26 @@ class PieceEncoder:
         self.ranks = load_ranks(path)
         self.machine = Transducer(self.ranks)
         self.lengths = token_lengths(self.ranks)
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # the number of each piece
+        self.count, self.values = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the token lists of the rows; a null row has none."""
-        flat = pc.list_flatten(pieces)
-        coded = flat.dictionary_encode()
+        coded = pc.list_flatten(pieces).dictionary_encode()
         if len(self.known) > CACHE:
-            self.known.clear()
-        each, known, encode = [], self.known, self.machine.encode
-        for piece in coded.dictionary.to_pylist():
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = encode(piece.encode())
-            each.append(ids)
-        count = np.fromiter(map(len, each), np.int64, len(each))
-        values = np.fromiter((i for ids in each for i in ids), np.int32, int(count.sum()))
-        begin = np.cumsum(count) - count
+            self.forget()
+        known, each = self.known, coded.dictionary.to_pylist()
+        new = sorted(x for x in each if x not in known)
+        if new:
+            found, ids = self.machine.encode_sorted([x.encode() for x in new])
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.count = np.concatenate([self.count, np.array(found, np.int64)])
+            self.values = np.concatenate([self.values, np.array(ids, np.int32)])
+        number = np.fromiter(map(known.__getitem__, each), np.int64, len(each))
+        count, values, begin = self.count[number], self.values, (np.cumsum(self.count) - self.count)[number]
         index = coded.indices.to_numpy(zero_copy_only=False)
         n = count[index]
         upto = np.concatenate([[0], np.cumsum(n)])

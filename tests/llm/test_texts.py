@@ -53,6 +53,26 @@ def test_transducer_equals_merging(name, states, monkeypatch):
     assert len(machine.keys) <= states + 60
 
 
+@pytest.mark.parametrize("name", RANKS)
+@pytest.mark.parametrize("block,moves", [(4096, 10**6), (5, 300)])
+def test_states_are_shared_by_random_letters(name, block, moves, monkeypatch):
+    """p10_pieces: binary patches are random letters; states that held the tokens before made nearly one state a piece."""
+    monkeypatch.setattr(tokenizer, "BLOCK", block)
+    monkeypatch.setattr(tokenizer, "MAX_MOVES", moves)
+    want, rnd = reference(name), random.Random(block)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = {"".join(rnd.choice(letters[-12:-2] if i % 3 else letters) for _ in range(rnd.randint(1, 12))) for i in range(6000)}
+    texts |= {"a" * 300, "a" * 301, "\0", "\0\0", "é", "éü", "你", "你好", "\U0001f600" * 9, "the" * 40, "the" * 41, "=-" * 100}
+    pieces = sorted(x.encode() for x in texts)
+    machine = tokenizer.Transducer(tokenizer.load_ranks(os.path.join(encode.TOKENIZERS, name)))
+    one_by_one = [machine.encode(x) for x in pieces]
+    assert one_by_one == [want._encode_single_piece(x) for x in pieces]
+    assert len(machine.keys) < len(pieces) / 2
+    count, ids = machine.encode_sorted(pieces)
+    assert count == [len(x) for x in one_by_one] and ids == [i for x in one_by_one for i in x]
+    assert machine.encode_sorted([]) == ([], []) and machine.encode(b"") == []
+
+
 def test_streaming_decode_keeps_characters(spark):
     ranks = tokenizer.load_ranks(os.path.join(encode.TOKENIZERS, RANKS[0]))
     ids = reference(RANKS[0]).encode_ordinary("你\U0001f600x")
